@@ -60,7 +60,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shuffle_parts(df: DataFrame, mb: int = 16) -> int:
     """Partitions for a shuffle of all columns of ``df``: the session's number, or more where the plan's size asks for it."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = min(size, 1 << 50)
     return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, size // (mb << 20))))
 

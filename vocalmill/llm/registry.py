@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, simhash
+from . import bpe, decontamination, linededup, simhash, toxicity
 
-MODULES = (decontamination, simhash, bpe)
+MODULES = (decontamination, simhash, toxicity, bpe, linededup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
