@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, linededup, orderminhash, simhash, toxicity
+from . import bpe, decontamination, langid, linededup, orderminhash, simhash, toxicity
 
-MODULES = (decontamination, orderminhash, simhash, toxicity, bpe, linededup)
+MODULES = (decontamination, orderminhash, simhash, toxicity, bpe, linededup, langid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
