@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     runs = repeated_runs(docs, id_col, text_col, min_words)
     here = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
-    right = runs.select(F.col("__id").alias("r_id"), F.col("th").alias("r_th"), "runs")
+    right = runs.select(F.col("__id").alias("r_id"), F.col("th").alias("r_th"), "runs").hint("merge")
     joined = here.join(right, F.col(key).eqNullSafe(F.col("r_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("r_th")), "left")
 
     at = docs.columns.index(text_col)
