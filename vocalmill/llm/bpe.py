@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import _common as C
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Matches whose ids a worker keeps, and the length in characters up to which it keeps one.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 
 
 def default_ranks() -> str:
@@ -54,7 +56,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str):
-    """The tokenizer and the bytes of each id, once a process."""
+    """The tokenizer of whole texts, that of single matches, and the bytes of each id; once a process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -68,13 +70,38 @@ def codec(path: str, pattern: str):
         merges += [(spell[a], spell[b]) for _, _, a, b in sorted(lower)]
     model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=100_000)
     tokenizer = Tokenizer(model)
-    cut = pre_tokenizers.Split(Regex(pattern), "isolated")
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), as_bytes])
+    single = Tokenizer(model)
+    single.pre_tokenizer = as_bytes
     back = {c: b for b, c in enumerate(chars)}
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = bytes(back[c] for c in spell[token])
-    return tokenizer, table
+    return tokenizer, Matches(single, pattern), table
+
+
+class Matches:
+    """The ids of texts as little-endian unsigned 32-bit integers, from the matches of a pattern."""
+
+    def __init__(self, tokenizer, pattern: str):
+        import regex
+
+        self.tokenizer, self.find, self.known = tokenizer, regex.compile(pattern).findall, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        pieces = [self.find(t) for t in texts]
+        new = list({p for row in pieces for p in row if p not in self.known})
+        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        known = self.known
+        known.update(zip(new, ids, strict=True))
+        out = [b"".join(map(known.__getitem__, row)) for row in pieces]
+        for p in new:
+            if len(p) > REMEMBERED_CHARS:
+                del known[p]
+        return out
 
 
 def decode_ids(ids: Iterable[int], table: list[bytes]) -> bytes:
@@ -99,22 +126,24 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     schema = ", ".join([f"__id {id_type}", "n_tokens bigint", *(f"{x} {types[x]}" for x in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, table = codec(path, pat)
+        tokenizer, matches, table = codec(path, pat)
         for part in C.text_slices(batches):
             texts = C.text_array(part.column(1)).to_pylist()
-            call = tokenizer.encode_batch if "offsets" in outputs else tokenizer.encode_batch_fast
-            encoded = call(texts, add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64())]
+            if "offsets" in outputs:
+                encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
+                ids = [np.array(e.ids, "<u4").tobytes() for e in encoded]
+            else:
+                ids = matches.encode(texts)
+            columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
             for name in outputs:
                 if name == "ids":
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 elif name == "offsets":
                     columns.append(pa.array([[v for span in e.offsets for v in span] for e in encoded], pa.list_(pa.int32())))
                 elif name == "ids_sha256":
-                    columns.append(pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]))
+                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
                 else:
-                    columns.append(pa.array([hashlib.sha256(decode_ids(x, table)).hexdigest() for x in ids]))
+                    columns.append(pa.array([hashlib.sha256(decode_ids(np.frombuffer(x, "<u4").tolist(), table)).hexdigest() for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["__id", "n_tokens", *outputs])
 
     return source.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
@@ -132,7 +161,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *,
     schema = f"__id {source.schema[0].dataType.simpleString()}, decoded binary, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = codec(path, pat)
+        _, _, table = codec(path, pat)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
