@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, langid, licenses, linededup, orderminhash, quality, simhash, toxicity
+from . import bpe, decontamination, htmltext, langid, licenses, linededup, orderminhash, quality, simhash, toxicity
 
-MODULES = (decontamination, orderminhash, licenses, quality, simhash, toxicity, bpe, linededup, langid)
+MODULES = (decontamination, orderminhash, licenses, quality, simhash, toxicity, htmltext, bpe, linededup, langid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
