@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import transcripts
+
+QUERIES: dict = {**transcripts.QUERIES}
+ORACLE: dict = {**transcripts.ORACLE}
