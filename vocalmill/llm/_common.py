@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of an Arrow batch between Spark and Python, where the session has not chosen a number of its own.
+BATCH_ROWS = 500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make batches of whole texts small, and ship this package to the executors (once a Spark application)."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    context = spark.sparkContext
+    if getattr(context, "_vocalmill_shipped", None) is None:
+        context._vocalmill_shipped = True
+        package = Path(__file__).resolve().parents[1]
+        if package.is_dir():
+            archive = Path(tempfile.mkdtemp(prefix="vocalmill-")) / "vocalmill_package.zip"
+            with zipfile.ZipFile(archive, "w") as out:
+                for file in sorted(package.rglob("*.py")):
+                    out.write(file, file.relative_to(package.parent))
+            context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,8 +83,8 @@ def shuffle_parts(df: DataFrame, mb: int = 16) -> int:
     """Partitions for a shuffle of all columns of ``df``: the session's number, or more where the plan's size asks for it."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = min(size, 1 << 50)
-    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, size // (mb << 20))))
+    known = size if size < 1 << 60 else 0  # a plan without statistics claims a size beyond any table
+    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, known // (mb << 20))))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +99,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/vocalmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -95,4 +118,5 @@ def discard(df: DataFrame | None) -> None:
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns can't clash with an operator's own."""
+    prepare(df.sparkSession)
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
