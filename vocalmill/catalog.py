@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import transcripts
+from .plans import library, streams, transcripts
 
-QUERIES: dict = {**transcripts.QUERIES}
-ORACLE: dict = {**transcripts.ORACLE}
+QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES}
+ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE}

@@ -70,7 +70,7 @@ def media_label(ext: Column, wav_exists: Column) -> Column:
 
 def label_list(labels: Column) -> Column:
     """The labels of a cell that separates them by bars; the default ones if there are none."""
-    found = F.filter(F.transform(F.split(F.coalesce(labels, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    found = F.filter(F.transform(F.split(F.coalesce(labels, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, DEFAULT_LABELS)))
 
 

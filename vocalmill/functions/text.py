@@ -28,7 +28,7 @@ def blank_to_null(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of a text; a text without a boundary is one."""
-    parts = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
@@ -42,7 +42,7 @@ def join_text(left: Column, right: Column) -> Column:
 
 
 def clean_flags(flags: Column) -> Column:
-    return F.coalesce(F.filter(F.transform(flags, F.trim), lambda f: f != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(flags, lambda x: F.trim(x)), lambda f: f != ""), F.array().cast("array<string>"))
 
 
 def flag_text(flags: Column) -> Column:
@@ -86,7 +86,7 @@ def cell_safe(text: Column) -> Column:
 
 def join_words(words: Column) -> Column:
     """Words with spaces between, but none before closing punctuation."""
-    return collapse(F.regexp_replace(F.array_join(F.filter(F.transform(words, F.trim), lambda w: w != ""), " "), r" (?=[,.;:!?%)])", ""))
+    return collapse(F.regexp_replace(F.array_join(F.filter(F.transform(words, lambda x: F.trim(x)), lambda w: w != ""), " "), r" (?=[,.;:!?%)])", ""))
 
 
 def preview(text: Column, limit: int = 120) -> Column:

@@ -126,18 +126,18 @@ def probe_metadata(documents: DataFrame, key: str = "path", document: str = "doc
     """The technical columns of ffprobe JSON: the first audio and the first video stream, and the container."""
     stream = "codec_type string, codec_name string, sample_rate string, channels string, channel_layout string, bit_rate string, width string, height string, avg_frame_rate string"
     d = F.from_json(document, f"streams array<struct<{stream.replace(' string', ':string')}>>, format struct<duration:string,format_name:string,format_long_name:string,bit_rate:string>")
-    rows = documents.select(key, d.alias("d")).withColumns({kind: F.filter(F.coalesce("d.streams", F.array()), lambda s, k=kind: s.codec_type == k) for kind in ("audio", "video")})
+    rows = documents.select(key, d.alias("d")).withColumns({kind: F.expr(f"filter(d.streams, s -> s.codec_type = '{kind}')") for kind in ("audio", "video")})
     a, v = F.try_element_at("audio", F.lit(1)), F.try_element_at("video", F.lit(1))
     text = lambda c: F.coalesce(c, F.lit(""))
     values = {
         "duration_sec": M.number_text(F.col("d.format.duration")),
-        "source_audio_streams": F.size("audio").cast("string"),
+        "source_audio_streams": F.coalesce(F.array_size("audio"), F.lit(0)).cast("string"),
         "source_audio_codec": text(a["codec_name"]),
         "source_sample_rate": text(a["sample_rate"]),
         "source_audio_channels": text(a["channels"]),
         "source_channel_layout": text(a["channel_layout"]),
         "source_bit_rate": text(F.coalesce(a["bit_rate"], F.col("d.format.bit_rate"))),
-        "source_video_streams": F.size("video").cast("string"),
+        "source_video_streams": F.coalesce(F.array_size("video"), F.lit(0)).cast("string"),
         "source_video_codec": text(v["codec_name"]),
         "source_video_width": text(v["width"]),
         "source_video_height": text(v["height"]),

@@ -37,7 +37,7 @@ def held_progress(events: DataFrame, key: str = "file_id", order: str = "seq", p
         rows = pd.concat(list(frames)).sort_values("seq")
         rows["shown"] = rows["progress"].fillna(0).cummax().clip(lower=top, upper=cap).astype("int64")
         state.update((int(max(top, rows["shown"].max())),))
-        rows.insert(0, "key", name[0])
+        rows["key"] = name[0]
         yield rows[["key", "seq", "progress", "shown"]]
 
     source = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("seq"), F.col(progress).cast("double").alias("progress"))
