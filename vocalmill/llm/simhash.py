@@ -87,8 +87,8 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return few.union(starred)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``fingerprint`` (16 hex digits), ``component_id`` (least id of the component)."""
+def _owners(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and for each distinct one (``fp``) its ``root`` fingerprint and ``component_id``."""
     prints = C.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     values = C.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "values")
     roots = components(links(values.select("fp")))
@@ -96,16 +96,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = C.materialize(named, "named")
     linked = named.where("root != fp").select("root").distinct()
     of_root = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component"))
-    owner = C.materialize(named.join(of_root, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "owners")
+    return prints, C.materialize(named.join(of_root, "root", "left").select("fp", "root", F.coalesce("component", "least").alias("component_id")), "owners")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id, ``fingerprint`` (16 hex digits), ``component_id`` (least id of the component)."""
+    prints, owner = _owners(docs, id_col, text_col)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(owner, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
+    return prints.join(owner.drop("root"), "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, one row each, with all columns."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = C.materialize(found.select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """One row of each component, with all columns: the one whose id names it.
+
+    A component that has no id at all is represented by any one of its rows.  Texts are shuffled once, by id.
+    """
+    prints, owner = _owners(docs, id_col, text_col)
+    kept = prints.join(owner, "fp").where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    kept = C.materialize(kept, "kept")
+    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    fields = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    source = docs.where(F.col(id_col).isNull()).select(*(F.col(c).alias(f) for c, f in zip(docs.columns, fields, strict=True)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C.text_slices(batches, at):
+            values = np.array([fingerprint(t) for t in C.text_array(part.column(at)).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=[*fields, "fp"])
+
+    nameless = source.mapInArrow(add, source.withColumn("fp", F.lit(0).cast("bigint")).schema)
+    alone = nameless.join(owner.where("component_id IS NULL"), "fp").dropDuplicates(["root"])
+    return named.unionByName(alone.select(*(F.col(f).alias(c) for f, c in zip(fields, docs.columns, strict=True))))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
