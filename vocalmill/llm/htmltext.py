@@ -56,6 +56,7 @@ HEADER_FREE = frozenset(("article", "main"))
 
 _TAG = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|([/!?]?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([/!?]?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_CUT_OFF = re.compile(r"<[A-Za-z/!?]")
 _LEGAL = re.compile(r"©|\(c\)|copyright\b|all rights reserved", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -123,8 +124,9 @@ def blocks_of(page: str) -> list[Block]:
 
     while at < size:
         start = page.find("<", at)
-        if start < 0 or start > last_close:  # no tag can follow
-            add(page[at:])
+        if start < 0 or start > last_close:  # no whole tag can follow; one that is cut off is no text
+            cut = _CUT_OFF.search(page, at)
+            add(page[at : cut.start() if cut else size])
             break
         if start > at:
             add(page[at:start])
@@ -149,7 +151,7 @@ def blocks_of(page: str) -> list[Block]:
                 here = node.parent
             continue
         if tag in OPAQUE:
-            if not rest.rstrip().endswith("/"):
+            if tag not in ("svg", "math") or not rest.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 close = page.find(">", end.start()) if end else -1
                 at = close + 1 if close >= 0 else size
@@ -174,8 +176,6 @@ def blocks_of(page: str) -> list[Block]:
                 texts.append(" ")
             continue
         here = Element(tag, here, rest)
-        if rest.endswith("/") and tag not in BLOCK:
-            here = here.parent
     flush()
     return out
 
