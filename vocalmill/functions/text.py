@@ -129,7 +129,8 @@ def redact(text: Column) -> Column:
 def progress_percent(text: Column) -> Column:
     """The last percentage in a message, 0 to 100; null without one."""
     found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{1,3})\s*%"), F.lit(1))
-    return F.least(F.try_element_at(found, F.lit(-1)).cast("int"), F.lit(100))
+    last = F.try_element_at(found, F.lit(-1)).cast("int")
+    return F.when(last.isNotNull(), F.least(last, F.lit(100)))
 
 
 def size_text(size: Column) -> Column:

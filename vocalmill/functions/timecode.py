@@ -38,7 +38,7 @@ def cue_end(start_ms: Column, end_ms: Column) -> Column:
 def seconds_text(ms: Column) -> Column:
     """Seconds with three decimals, from milliseconds."""
     ms = ms.cast("bigint")
-    return F.concat(F.when(ms < 0, F.lit("-")).otherwise(F.lit("")), F.format_string("%d.%03d", F.floor(F.abs(ms) / 1000), F.abs(ms) % 1000))
+    return F.when(ms.isNotNull(), F.concat(F.when(ms < 0, F.lit("-")).otherwise(F.lit("")), F.format_string("%d.%03d", F.floor(F.abs(ms) / 1000), F.abs(ms) % 1000)))
 
 
 def parse_timecode(text: Column) -> Column:

@@ -98,7 +98,7 @@ def text_view(rows: DataFrame, key: str = "interview_id") -> DataFrame:
         F.lower(F.col("canonical_exists").cast("string")).alias("canonical_exists"),
         *(empty(seconds_text(F.col(ms))).alias(name) for name, ms in times.items()),
         *(F.col(c).cast("string").alias(c) for c in ("turn_count", "speaker_count", "long_turns", "empty_turns", "timestamp_regressions", "unknown_speakers", "missing_human_labels")),
-        empty(F.format_string("%.3f", F.bround("speaker_time_ratio_max", 3))).alias("speaker_time_ratio_max"),
-        empty(F.format_string("%.4f", F.bround("coverage_ratio", 4))).alias("coverage_ratio"),
+        empty(F.when(F.col("speaker_time_ratio_max").isNotNull(), F.format_string("%.3f", F.bround("speaker_time_ratio_max", 3)))).alias("speaker_time_ratio_max"),
+        empty(F.when(F.col("coverage_ratio").isNotNull(), F.format_string("%.4f", F.bround("coverage_ratio", 4)))).alias("coverage_ratio"),
         "notes",
     )
