@@ -6,6 +6,8 @@ function, so a fold costs one shuffle on the recording's id and stays in the JVM
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ def turn_fold(segments: DataFrame, key: str = "interview_id", gap_ms: int = 1800
     return rows.select(key, F.posexplode(folded).alias("turn", "t")).select(key, F.col("turn").cast("bigint").alias("turn"), "t.*")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a fold Spark would compute it at each mention."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def paragraphs(chunks: Column) -> Column:
     """Readable paragraphs of a speaker's texts (an array column), as an array.
 
@@ -73,17 +80,24 @@ def paragraphs(chunks: Column) -> Column:
     )
     start = F.struct(none.alias("done"), F.lit("").alias("cur")).cast("struct<done:array<string>,cur:string>")
 
+    def add(b: Column, x: Column) -> Column:
+        """Add a sentence; texts are trimmed, so they join by a space and end in their last character."""
+        longer = F.when(b["cur"] == "", x["s"]).otherwise(F.concat(b["cur"], F.lit(" "), x["s"]))
+
+        def decide(c: Column) -> Column:
+            over = (b["cur"] != "") & (F.length(c) > HARD_CHARS)
+            full = (F.length(c) >= SOFT_CHARS) & F.right(c, F.lit(1)).isin(".", "!", "?")
+            return F.struct(
+                F.when(over, F.concat(b["done"], F.array(b["cur"]))).when(full, F.concat(b["done"], F.array(c))).otherwise(b["done"]).alias("done"),
+                F.when(over, x["s"]).when(full, F.lit("")).otherwise(c).alias("cur"),
+            )
+
+        return _let(longer, decide)
+
     def step(a: Column, x: Column) -> Column:
         closes = x["fresh"] & (F.length(a["cur"]) >= MIN_CHARS)
-        done = F.when(closes, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
-        current = F.when(closes, F.lit("")).otherwise(a["cur"])
-        longer = X.join_text(current, x["s"])
-        over = (current != "") & (F.length(longer) > HARD_CHARS)
-        full = ~over & (F.length(longer) >= SOFT_CHARS) & X.ends_sentence(longer)
-        return F.struct(
-            F.when(over, F.concat(done, F.array(current))).when(full, F.concat(done, F.array(longer))).otherwise(done).alias("done"),
-            F.when(over, x["s"]).when(full, F.lit("")).otherwise(longer).alias("cur"),
-        ).cast("struct<done:array<string>,cur:string>")
+        closed = F.when(closes, F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), F.lit("").alias("cur"))).otherwise(a)
+        return _let(closed, lambda b: add(b, x)).cast("struct<done:array<string>,cur:string>")
 
     def finish(a: Column) -> Column:
         every = F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
