@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import folds
 
 _ID = re.compile(r"turn_(\d+)$")
@@ -157,6 +158,7 @@ def replay(turns: DataFrame, edits: DataFrame, upto: int | None = None) -> DataF
         out = pd.DataFrame([{"interview_id": key[0], "pos": i, **t, "refused": refused} for i, t in enumerate(done)], columns=["interview_id", "pos", *fields, "refused"])
         return out
 
+    ship(turns.sparkSession)
     # new column identities, as the edits may come from the same table as the turns
     edits = edits.select(*(F.col(c).alias(c) for c in ("interview_id", "seq", "action", "turn_id", "payload")))
     return turns.groupBy("interview_id").cogroup(edits.groupBy("interview_id")).applyInPandas(fold, REPLAYED)

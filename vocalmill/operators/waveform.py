@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MAX_PEAKS, PEAKS_A_SECOND = 500_000, 180
 
 
@@ -69,4 +71,5 @@ def decode_wav(files: DataFrame, path_col: str = "path", content_col: str = "con
                     part = values[start : start + 65536]
                     yield pd.DataFrame({"file_id": path, "idx": range(start, start + len(part)), "value": part, "rate": rate})
 
+    ship(files.sparkSession)
     return files.select(F.col(path_col).alias("p"), F.col(content_col).alias("c")).mapInPandas(run, "file_id string, idx bigint, value bigint, rate int")

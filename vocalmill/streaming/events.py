@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import LOG
+from ..session import ship
 
 CREEP_CAP, IDLE_MS = 90, 2000
 
@@ -40,6 +41,7 @@ def held_progress(events: DataFrame, key: str = "file_id", order: str = "seq", p
         rows["key"] = name[0]
         yield rows[["key", "seq", "progress", "shown"]]
 
+    ship(events.sparkSession)
     source = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("seq"), F.col(progress).cast("double").alias("progress"))
     out = source.groupBy("key").applyInPandasWithState(step, "key string, seq bigint, progress double, shown bigint", "top bigint", "append", GroupStateTimeout.NoTimeout)
     return out.withColumnRenamed("key", key)
@@ -84,6 +86,7 @@ class Creep(StatefulProcessor):
 
 def creeping_progress(events: DataFrame, key: str = "file_id", progress: str = "progress", cap: int = CREEP_CAP, idle_ms: int = IDLE_MS) -> DataFrame:
     """ST3: (key, shown) with processing-time creep."""
+    ship(events.sparkSession)
     source = events.select(F.col(key).cast("string").alias("key"), F.col(progress).cast("double").alias("progress"))
     return source.groupBy("key").transformWithStateInPandas(Creep(cap, idle_ms), "key string, shown bigint", "Update", "ProcessingTime")
 
