@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch between Spark and Python, where the session has not chosen a number of its own.
 BATCH_ROWS = 500
@@ -30,16 +30,7 @@ def prepare(spark: SparkSession) -> None:
     """Make batches of whole texts small, and ship this package to the executors (once a Spark application)."""
     if spark.conf.get(_ROWS) == "10000":
         spark.conf.set(_ROWS, str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_vocalmill_shipped", None) is None:
-        context._vocalmill_shipped = True
-        package = Path(__file__).resolve().parents[1]
-        if package.is_dir():
-            archive = Path(tempfile.mkdtemp(prefix="vocalmill-")) / "vocalmill_package.zip"
-            with zipfile.ZipFile(archive, "w") as out:
-                for file in sorted(package.rglob("*.py")):
-                    out.write(file, file.relative_to(package.parent))
-            context.addPyFile(str(archive))
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
