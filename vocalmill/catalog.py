@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import library, streams, transcripts
+from .plans import files, library, streams, transcripts
 
-QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES}
-ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE}
+QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES, **files.QUERIES}
+ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE, **files.ORACLE}

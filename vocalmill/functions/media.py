@@ -137,6 +137,11 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
+def file_hash(content: Column) -> Column:
+    """The SHA-256 of a file's bytes."""
+    return F.sha2(content, 256)
+
+
 def iso_utc(at: Column) -> Column:
     """A timestamp as UTC text with seconds, in a UTC session."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
