@@ -73,3 +73,14 @@ def test_equals_sql(spark, name):
 def test_one_row_for_each_row(spark, name):
     table = "pages" if name.startswith("op7_") else "documents"
     assert registry.QUERIES[name](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
+
+
+def test_written_tables_can_be_deleted(spark):
+    from vocalmill.llm import _common as C
+
+    df = spark.range(3).toDF("doc_id")
+    kept, gone = C.materialize(df), C.materialize(df)
+    C.discard(gone)
+    assert kept.count() == 3 and kept._vocalmill_path in C._written and gone._vocalmill_path not in C._written
+    C.discard_all(spark)
+    assert not C._written

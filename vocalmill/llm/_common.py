@@ -21,6 +21,7 @@ from ..session import ship
 SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch between Spark and Python, where the session has not chosen a number of its own.
 BATCH_ROWS = 500
+_written: set[str] = set()
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -88,23 +89,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing.
+
+    Results read these tables lazily, so they stay until :func:`discard`, or :func:`discard_all` once results are written.
+    """
     spark = df.sparkSession
     prepare(spark)
     path = f"{shared_dir(spark)}/vocalmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vocalmill_path = path
+    _written.add(path)
     return out
 
 
-def discard(df: DataFrame | None) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.discard(path)
+
+
+def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote, once nothing reads it any more."""
-    path = getattr(df, "_vocalmill_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if path := getattr(df, "_vocalmill_path", None):
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all tables that this process has written and not deleted; for when no result is still to be computed."""
+    for path in sorted(_written):
+        _delete(spark, path)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
