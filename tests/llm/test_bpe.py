@@ -57,3 +57,10 @@ def test_split_characters_and_empty(spark):
     rows = {r.doc_id: r for r in bpe.decode(halves).collect()}
     assert rows[2].text == "" and (len(ids) == 1 or "�" in rows[1].text)
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_that_libraries_cut_differently(spark):
+    odd = ["\U00018f68랜 a", "x ͸ y", "plain"]
+    known = reference()
+    rows = {r.doc_id: list(r.ids) for r in bpe.encode(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), outputs=("ids",)).collect()}
+    assert [rows[i] for i in range(3)] == [known.encode_ordinary(t) for t in odd]

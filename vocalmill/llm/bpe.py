@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -78,22 +80,38 @@ def codec(path: str, pattern: str):
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = bytes(back[c] for c in spell[token])
-    return tokenizer, Matches(single, pattern), table
+    return tokenizer, Matches(single, pattern, ranks), table
+
+
+@lru_cache(maxsize=1)
+def unassigned():
+    """A compiled class of the characters that have no category in Python's Unicode tables."""
+    none = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
+    edges = [c for c in range(1, 0x110000) if none[c] != none[c - 1]] + [0x110000]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges, edges[1:], strict=False) if none[a]) + "]")
 
 
 class Matches:
     """The ids of texts as little-endian unsigned 32-bit integers, from the matches of a pattern."""
 
-    def __init__(self, tokenizer, pattern: str):
+    def __init__(self, tokenizer, pattern: str, ranks: dict[bytes, int]):
         import regex
+        import tiktoken
 
         self.tokenizer, self.find, self.known = tokenizer, regex.compile(pattern).findall, {}
+        self.odd = unassigned().search
+        self.other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
         pieces = [self.find(t) for t in texts]
-        new = list({p for row in pieces for p in row if p not in self.known})
+        new = {p for row in pieces for p in row if p not in self.known}
+        bad = {p for p in new if not p.isascii() and self.odd(p)}
+        odd = [i for i, row in enumerate(pieces) if not bad.isdisjoint(row)] if bad else []
+        for i in odd:
+            pieces[i] = []
+        new = list(new - bad)
         ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         known = self.known
         known.update(zip(new, ids, strict=True))
@@ -101,6 +119,8 @@ class Matches:
         for p in new:
             if len(p) > REMEMBERED_CHARS:
                 del known[p]
+        for i in odd:
+            out[i] = np.array(self.other.encode_ordinary(texts[i]), "<u4").tobytes()
         return out
 
 
