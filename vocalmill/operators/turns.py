@@ -21,7 +21,7 @@ def attribute(segments: DataFrame, words: DataFrame, spans: DataFrame, key: str
     """
     usable = words.where("end_ms > start_ms").where(F.trim("word") != "")
     own = segments.select(key, "idx", F.coalesce("speaker", F.lit("SPEAKER_UNKNOWN")).alias("__own"))
-    heard = usable.join(best_overlap(usable, spans, ["idx", "widx"], key).select(key, "idx", "widx", "best_speaker"), [key, "idx", "widx"], "left")
+    heard = best_overlap(usable, spans, ["idx", "widx", "word", "start_ms", "end_ms"], key, outer=True)
     heard = heard.join(own, [key, "idx"]).withColumn("speaker", F.coalesce("best_speaker", "__own"))
     order = Window.partitionBy(key, "idx").orderBy("widx")
     changed = F.when(F.lag("speaker").over(order) == F.col("speaker"), 0).otherwise(1)
@@ -33,7 +33,7 @@ def attribute(segments: DataFrame, words: DataFrame, spans: DataFrame, key: str
     pieces = pieces.withColumn("n", F.max("island").over(several)).where("n > 1")
     split = pieces.select(key, "idx", (F.col("island") - 1).alias("sub"), "start_ms", "end_ms", "speaker", X.join_words(F.col("w.word")).alias("text"), F.size("w").alias("words"), F.lit(True).alias("split"), F.lit(False).alias("needs_review"), F.lit("").alias("note"))
     whole = segments.join(pieces.select(key, "idx").distinct(), [key, "idx"], "left_anti")
-    whole = whole.join(best_overlap(whole, spans, ["idx"], key), [key, "idx"], "left")
+    whole = whole.join(best_overlap(whole.select(key, "idx", "start_ms", "end_ms"), spans, ["idx"], key), [key, "idx"], "left")
     mixed = F.coalesce(F.col("n_speakers") > 1, F.lit(False))
     kept = whole.select(key, "idx", F.lit(0).cast("bigint").alias("sub"), "start_ms", "end_ms", F.coalesce("best_speaker", "speaker").alias("speaker"), "text", F.lit(0).alias("words"), F.lit(False).alias("split"), mixed.alias("needs_review"), F.when(mixed, F.lit(MIXED_NOTE)).otherwise(F.lit("")).alias("note"))
     return split.where("text != ''").unionByName(kept)
