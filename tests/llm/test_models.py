@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -186,6 +187,38 @@ def test_whole_licences():
             assert any(m[0] == key and m[1] > 0.95 and m[3] > 1 for m in inside)
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\n\nCopyright (c) 2020 Someone\n\n"])
+def test_licences_that_follow_one_another(between):
+    texts = {key: "\n".join(textwrap.wrap(text, 78)) for key, kind, text in S.template_texts() if kind == "notice"}
+    for a, b in itertools.product(texts, repeat=2):
+        found = S.scan(f"{texts[a]}{between}{texts[b]}")
+        size = texts[a].count("\n") + 1
+        # a line that begins with "copyright" is left out, so some score less than 1
+        places = {(key, at, n) for key, score, at, n in found if score > 0.9}
+        assert {(a, 0, size), (b, size - 1 + between.count("\n"), texts[b].count("\n") + 1)} <= places
+
+
+def test_a_repeated_licence_is_the_whole_text():
+    text = next(text for key, kind, text in S.template_texts() if key == "MIT" and kind == "notice")
+    found = S.scan("\n".join([text] * 4))
+    assert [m for m in found if m[3] == 4 * (text.count("\n") + 1)][0][0] == "MIT" and len(found) >= 5
+
+
+def test_licence_windows_equal_all_windows():
+    rng = random.Random(4)
+    rows = [line for key, kind, text in S.template_texts() if kind == "notice" for line in textwrap.wrap(text, 78)]
+    listed, vocabulary = S.templates(None)
+    for _ in range(30):
+        at = rng.randrange(len(rows) - 30)
+        lines = [S.words_of(x) for x in (r for r in rows[at : at + 30] for _ in range(rng.choice([0, 1, 1, 1, 2])))]
+        scores = [0.0]
+        for i, j in itertools.combinations(range(len(lines)), 2):
+            grams = S.bigrams([w for x in lines[i : j + 1] for w in x])
+            if hit := S.best_template(grams, grams & vocabulary, listed, S.THRESHOLD):
+                scores.append(hit[1])
+        assert max((m[1] for m in S.windows(lines)), default=0.0) == max(scores)
+
+
 def cut_value(side, terminal, edges):
     return sum(max(t, 0) for s, t in zip(side, terminal) if not s) + sum(max(-t, 0) for s, t in zip(side, terminal) if s) + sum(c for a, b, c in edges if side[a] != side[b])
 

@@ -1,14 +1,17 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 Words are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text; lines that only state a
-copyright are left out of longer pieces.  Three kinds of pieces of a document are compared: each line, each run of
-lines that are mostly made of template bigrams (blank lines inside allowed), and the whole text.  The coefficient
+copyright are left out of longer pieces.  Three kinds of pieces of a document are compared: each line, windows of
+two lines or more inside each run of lines that are mostly made of template bigrams (blank lines inside allowed),
+and the whole text.  Of the windows of a run the most alike are reported, as many as don't overlap, so licences
+that follow one another are found one by one.  The coefficient
 is twice the number of common distinct bigrams by the sum of both numbers, so a template whose number of bigrams
 is too far from a piece's can't reach the threshold and is not compared; a piece without any template bigram isn't
 either.  Nothing is shuffled; the templates are a fixed table of a few kilobytes.
 
 Defined cases: a null or empty text has no pieces; a piece of fewer than two words has no bigram; equal scores go
-to the template whose name sorts first; repeated rows get repeated results; an empty table gives an empty result;
+to the template whose name sorts first, and to the window that begins first; lines beside a window that add no bigram
+to it belong to it; repeated rows get repeated results; an empty table gives an empty result;
 only the id and the text are read.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,17 +121,68 @@ def best_template(grams: set, common: set, listed: list[tuple[str, set]], thresh
     return best
 
 
+@lru_cache(maxsize=4)
+def _members(texts: tuple[tuple[str, str, str], ...] | None = None) -> tuple[dict, np.ndarray]:
+    """The templates (places in the list) that have each bigram, and the number of bigrams of each template."""
+    listed, vocabulary = templates(texts)
+    return {g: np.array([k for k, (_, own) in enumerate(listed) if g in own]) for g in vocabulary}, np.array([len(own) for _, own in listed])
+
+
+def windows(lines: list[list[bytes]], texts: tuple[tuple[str, str, str], ...] | None = None, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
+    """(licence, score, first line, last line) of the most alike windows of two lines or more that don't overlap.
+
+    A window is left once its first line adds no bigram to it, as the shorter one has the same bigrams, or once it
+    has more bigrams than any template allows.  So each line is in at most as many windows as these bigrams.
+    """
+    listed, _ = templates(texts)
+    members, sizes = _members(texts)
+    most = (2 - threshold) / threshold * int(sizes.max(initial=0))
+    own = [bigrams(words) for words in lines]
+    joint = [(a[-1], b[0]) for a, b in zip(lines, lines[1:], strict=False)]
+    found = []
+    for i in range(len(lines) - 1):
+        alone, grams, common = {*own[i], joint[i]}, set(), np.zeros(len(listed), np.int64)
+        for j in range(i, len(lines)):
+            fresh = (own[j] if j == i else own[j] | {joint[j - 1]}) - grams
+            if j > i:
+                alone -= own[j] if j == i + 1 else own[j] | {joint[j - 1]}
+            if not alone or len(grams) + len(fresh) > most:
+                break
+            grams |= fresh
+            for g in fresh:
+                if (at := members.get(g)) is not None:
+                    common[at] += 1
+            if j > i and fresh:
+                scores = 2 * common / (len(grams) + sizes)
+                score = float(scores.max())
+                if score >= threshold:
+                    found.append((-score, i, j, min(listed[k][0] for k in np.flatnonzero(scores == score))))
+    taken, out = [False] * len(lines), []
+    for score, i, j, key in sorted(found):
+        if any(taken[i : j + 1]):
+            continue
+        grams = bigrams([w for words in lines[i : j + 1] for w in words])
+        while j + 1 < len(lines) and not taken[j + 1] and joint[j] in grams and own[j + 1] <= grams:
+            j += 1
+        while i and not taken[i - 1] and joint[i - 1] in grams and own[i - 1] <= grams:
+            i -= 1
+        taken[i : j + 1] = [True] * (j + 1 - i)
+        out.append((key, -score, i, j))
+    return out
+
+
 def scan(text: str | None, texts: tuple[tuple[str, str, str], ...] | None = None, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """(licence, score, first line, lines) of each piece of a text that is like a template; lines count from 0.
 
-    A whole text is reported with all its lines, a run only if it has two lines or more and is not the whole text.
+    A whole text is reported with all its lines; a run that is the whole text only if that doesn't say the same.
     """
     if not text:
         return []
     listed, vocabulary = templates(texts)
     lines = [words_of(line) for line in text.split("\n")]
     found = []
-    whole: set = set()
+    most = (2 - threshold) / threshold * max((len(own) for _, own in listed), default=0)
+    whole: set = set()  # bigrams of the content's lines, as far as a template allows
     run: list[int] = []
     runs = []
     shared_any = False
@@ -139,6 +194,8 @@ def scan(text: str | None, texts: tuple[tuple[str, str, str], ...] | None = None
             if hit := best_template(grams, common, listed, threshold):
                 found.append((*hit, i, 1))
         notice = words is not None and (not words or words[0] == b"copyright")
+        if grams and not notice and len(whole) <= most:
+            whole |= grams
         if words is not None and (notice or (grams and len(common) >= RUN_SHARE * len(grams))):
             if run or not notice:
                 run.append(i)
@@ -149,24 +206,20 @@ def scan(text: str | None, texts: tuple[tuple[str, str, str], ...] | None = None
         return []
     content = [i for i, words in enumerate(lines) if words and words[0] != b"copyright"]
 
-    def piece(rows: list[int]) -> tuple[str, float] | None:
-        grams = bigrams([w for i in rows for w in lines[i]])
-        return best_template(grams, grams & vocabulary, listed, threshold)
-
+    hit = None
+    if len(content) > 1 and len(whole) <= most:
+        grams = bigrams([w for i in content for w in lines[i]])
+        if hit := best_template(grams, grams & vocabulary, listed, threshold):
+            found.append((*hit, 0, len(lines)))
     for rows in runs:
         rows = [i for i in rows if lines[i] and lines[i][0] != b"copyright"]
-        if len(rows) > 1 and rows != content and (hit := piece(rows)):
-            found.append((*hit, rows[0], rows[-1] - rows[0] + 1))
-    if len(content) > 1 and sum(len(lines[i]) for i in content) <= _longest(listed, threshold) and (hit := piece(content)):
-        found.append((*hit, 0, len(lines)))
+        pieces = windows([lines[i] for i in rows], texts, threshold) if len(rows) > 1 else []
+        if hit and rows == content and [key for key, *_ in pieces] == [hit[0]]:
+            continue
+        found += [(key, score, rows[a], rows[b] - rows[a] + 1) for key, score, a, b in pieces]
     return sorted(found, key=lambda x: (x[2], x[3], x[0]))
 
 
-def _longest(listed: list[tuple[str, set]], threshold: float) -> float:
-    """Words beyond which a text of distinct bigrams is too long for every template; repeated bigrams get room for as many again."""
-    return 2 * ((2 - threshold) / threshold * max((len(g) for _, g in listed), default=0) + 1)
-
-
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, texts: tuple[tuple[str, str, str], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: the id and ``matches``, array of (license, dice, first_line, n_lines)."""
     source = C.id_and_text(docs, id_col, text_col)
