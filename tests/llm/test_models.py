@@ -255,6 +255,31 @@ def test_pages(page, text):
     assert W.main_text(page, np.array(W.DEFAULT)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{LONG}</p></article></div><div class=sidebar><p>{LONG}</p></div>", SEEN),
+        (f"<div class='site no-sidebar'><div><p>{LONG}</p></div><div class=widget><p>{LONG}</p></div></div>", SEEN),
+        (f"<div class='page-with-comments'><main><p>{LONG}</p></main></div>", SEEN),
+        (f"<div class='layout-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"{SEEN} {SEEN}"),
+        (f"<article class='post category-popular tag-legal'><p>{LONG}</p></article>", SEEN),
+        (f"<article><p>{LONG}</p><section class=comments><article class=comment-body><p>{LONG}</p></article></section></article>", SEEN),
+        (f"<form><nav><a href=/>x</a></nav><main><p>{LONG}</p></main></form>", SEEN),
+    ],
+)
+def test_class_words_of_wrappers(page, text):
+    assert W.main_text(page, np.array(W.DEFAULT)) == text
+
+
+def test_terminals_leave_the_choice_to_the_cut():
+    page = f"<div><p>{LONG}</p><p class=popular>{LONG}</p><p>{LONG}</p></div><div class=popular><p>{LONG}</p></div>"
+    blocks = W.blocks_of(page)
+    strong = np.array([8.0, *np.zeros(len(W.FEATURES) - 1)])
+    terminal = W.terminals(blocks, strong)
+    assert max(map(abs, terminal)) < 50
+    assert terminal[1] < 0 and W.minimum_cut(terminal, W.edges_of(blocks)) == [True, True, True, False]
+
+
 def test_extraction_trains_and_runs(spark):
     good = f"<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>T</h1><p>{LONG}</p></article><footer>&copy; x</footer>"
     rows = [(i, f"u{i}", good.replace("Home", f"Home{i}")) for i in range(30)] + [(100, "u", None), (101, None, f"<div><a href=1>x</a> <a href=2>y</a></div><p>{LONG}</p><p>{LONG}</p>"), (5, "u5", good)]

@@ -3,13 +3,13 @@
 A page is cut into blocks: stretches of text between block-level boundaries, each with its place in the element
 tree.  A logistic classifier over shape features (length, links, punctuation, tag, place) gives each block a cost
 of being called content or boilerplate; these are its capacities to the two terminals.  Elements and attributes
-that say outright what a part is (navigation, footer, advert, comments, article ...) set capacities that the rest
-can't outweigh, or shift them.  Neighbouring blocks, and blocks that follow one another under one parent element,
+that say what a part is (navigation, footer, advert, comments, article ...) shift these by bounded amounts, see
+:class:`Element`; only hidden parts never count.  Neighbouring blocks, and blocks that follow one another under one parent element,
 are joined by edges, stronger the closer they are in the tree.  The minimum cut is the labelling; blocks whose
 terminal capacity exceeds all their edges are settled first, and augmenting paths find the rest.
 
 The classifier is trained on at most ``TRAIN_PAGES`` pages (those with the least hash), on blocks that their
-elements settle: inside an article or main element, or inside navigation and the like.  Pages are independent, so
+elements mark: inside an article or main element, or inside navigation and the like.  Pages are independent, so
 nothing but that sample is moved.
 
 Defined cases: a null or empty page, and one without text or content, gives an empty text; unclosed and misplaced
@@ -35,6 +35,8 @@ from . import _common as C
 
 TRAIN_PAGES = 1_000
 SURE = 1000.0
+#: Shifts of the terminal capacity, whose classifier part is at most ODDS either way.
+ODDS, IN_SHIFT, OUT_SHIFT, CLASS_SHIFT, GOOD_SHIFT, FRAME_SHIFT = 6.0, 8.0, -8.0, -7.0, 2.0, -8.0
 
 # Fixed sets of the HTML standard: elements without content, elements whose content isn't page text, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +55,8 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article content main post entry body story text page prose".split())
 HEADER_FREE = frozenset(("article", "main"))
+#: Words of a class name that tell how a page is laid out, as in no-sidebar and page-with-comments.
+LAYOUT_WORDS = frozenset("no without with has".split())
 
 _TAG = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|([/!?]?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([/!?]?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
@@ -62,29 +66,54 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "bad", "good", "in_article", "link", "depth")
+    """An element and what it says about its text: ``mark`` is "in", "out", "class" or none, by the innermost rule.
+
+    ``article`` and ``main`` mark "in", and so undo a mark from around them, unless an outer article holds that mark;
+    an article whose own class, id or role has words for boilerplate is marked "class" if it has no word for content
+    or its surroundings are marked.  Elements for boilerplate, and headers outside articles, mark "out".  Other
+    elements with words for boilerplate but none for content mark "class", where nothing marks "out" already.
+    Names with a layout word (no-sidebar) say nothing.
+    """
+
+    __slots__ = ("tag", "parent", "mark", "hidden", "good", "in_article", "nested", "link", "depth")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.bad = parent.bad if parent else False
+        self.mark = parent.mark if parent else None
+        self.hidden = parent.hidden if parent else False
         self.good = parent.good if parent else False
         self.in_article = (parent.in_article if parent else False) or tag in HEADER_FREE
+        self.nested = (parent.nested if parent else False) or tag == "article"
         self.link = (parent.link if parent else False) or tag == "a"
-        if tag in NOT_CONTENT or (tag == "header" and not self.in_article):
-            self.bad = True
+        words: set[str] = set()
         if attributes:
             found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
             if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-                self.bad = True
-            words = {w.lower() for key in ("class", "id", "role") for w in _WORD.findall(found.get(key, ""))}
-            if words and tag not in ("html", "body", "article", "main"):
-                self.bad = self.bad or (not words.isdisjoint(BAD_WORDS) and not (tag == "header" and self.in_article) and not (words & {"header"} and self.in_article and not words & (BAD_WORDS - {"header"})))
-                self.good = self.good or not words.isdisjoint(GOOD_WORDS)
-            elif words and tag in ("article", "main") and not words.isdisjoint(BAD_WORDS - {"header"}):
-                self.bad = True
+                self.hidden = True
+            names = ({w.lower() for w in _WORD.findall(name)} for key in ("class", "id", "role") for name in found.get(key, "").split())
+            words = {w for name in names if LAYOUT_WORDS.isdisjoint(name) for w in name}
+        bad, good = not words.isdisjoint(BAD_WORDS), not words.isdisjoint(GOOD_WORDS)
         if tag in HEADER_FREE:
+            bad = not words.isdisjoint(BAD_WORDS - {"header"})
+            if bad and (not good or self.mark in ("out", "class")):
+                self.mark = "class"
+            elif not (tag == "article" and parent and parent.nested and parent.mark != "in"):
+                self.mark = "in"
             self.good = True
+        elif tag in NOT_CONTENT or (tag == "header" and not self.in_article):
+            self.mark = "out"
+        elif words and tag not in ("html", "body"):
+            if self.in_article and (tag == "header" or (words & {"header"} and not words & (BAD_WORDS - {"header"}))):
+                bad = False
+            if bad and not good and self.mark != "out":
+                self.mark = "class"
+            self.good = self.good or good
+
+    @property
+    def bad(self) -> bool:
+        """Marked as boilerplate, or hidden."""
+        return self.hidden or self.mark in ("out", "class")
 
 
 @dataclass
@@ -95,6 +124,7 @@ class Block:
     text: str
     linked: int
     bad: bool
+    hidden: bool
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -112,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
                 holder = here
                 while holder.parent and holder.tag not in BLOCK:
                     holder = holder.parent
-                out.append(Block(holder, text, len(" ".join(entities.unescape("".join(linked)).split())), here.bad and holder.bad))
+                out.append(Block(holder, text, len(" ".join(entities.unescape("".join(linked)).split())), here.bad and holder.bad, here.hidden and holder.hidden))
             texts.clear()
             linked.clear()
 
@@ -199,17 +229,21 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 def terminals(blocks: list[Block], weights: np.ndarray) -> list[float]:
     """Content capacity less boilerplate capacity of each block."""
-    odds = np.clip(features(blocks) @ weights, -6, 6).tolist()
-    framed = any(b.element.in_article and not b.bad for b in blocks)
+    odds = np.clip(features(blocks) @ weights, -ODDS, ODDS).tolist()
+    framed = any(b.element.mark == "in" and not b.bad for b in blocks)
+    # class words say nothing if all that looks like content is under them: then they name a wrapper of the page
+    told = any(not b.bad and (z > 0 or b.element.mark == "in") for b, z in zip(blocks, odds, strict=True))
     out = []
     for b, z in zip(blocks, odds, strict=True):
-        if b.bad:
+        mark = b.element.mark
+        if b.hidden:
             out.append(-SURE)
-        elif b.element.in_article:
-            out.append(SURE)
+        elif mark == "in":
+            out.append(z + IN_SHIFT)
         else:
             # where an article is marked, what stands outside it needs a strong case
-            out.append(z + 2.0 * b.element.good - 8.0 * framed)
+            shift = OUT_SHIFT if mark == "out" else CLASS_SHIFT if mark == "class" and told else GOOD_SHIFT * b.element.good
+            out.append(z + shift + FRAME_SHIFT * framed)
     return out
 
 
@@ -325,7 +359,7 @@ def train(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAG
             keys, raw, labels = [], [], []
             for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 blocks = blocks_of(page)
-                known = [i for i, b in enumerate(blocks) if b.bad or b.element.in_article]
+                known = [i for i, b in enumerate(blocks) if b.bad or b.element.mark == "in"]
                 if known:
                     keys.append(h)
                     raw.append(features(blocks)[known].astype(np.float32).tobytes())
