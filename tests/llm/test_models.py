@@ -6,6 +6,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,14 @@ def test_mixture_of_one_document_is_a_likelihood_maximum():
     assert docs.tolist() == [0] and (abs(share[0, 0] - best) < 0.05 or share[0].max() == 1.0)
 
 
+def test_a_word_that_no_language_has_seen():
+    docs, share = G.mixtures(np.vstack([np.full((1, 4), -9.0), np.full((2, 4), -9.0)]), np.array([3, 5, 5]))
+    assert docs.tolist() == [3, 5] and share.tolist() == [[1.0, 0, 0, 0]] * 2
+    table = np.full((1 << G.BUCKET_BITS, 4), -9.0, np.float32)
+    langs, scores, mixed = G.predict(pa.array(["слово"]), ["aa", "bb", "cc", "dd"], table)
+    assert (langs, scores.tolist(), mixed) == (["aa"], [1.0], [{"aa": 1.0}])
+
+
 def test_quality(spark):
     rng = random.Random(4)
     words = [f"{a}{b}" for a, b in itertools.product(["ma", "re", "to", "sil", "ven"], ["na", "ri", "do", "le"])]

@@ -10,7 +10,7 @@ Training documents are those whose crc32 of the id as text is not 2 modulo 4, wi
 are summed in blocks by language, so no task or message grows with the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if no language was
-learned; a null id is never held out and never trained on; repeated rows count each; an empty table gives an empty
+learned; of equally likely languages the one that sorts first stays; a null id is never held out and never trained on; repeated rows count each; an empty table gives an empty
 result; only id, text and language are read.
 """
 
@@ -126,8 +126,8 @@ def mixtures(loglik: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     p = np.exp((loglik - loglik.max(axis=1, keepdims=True)).astype(np.float64))
     n = loglik.shape[1]
     share, total = _em(p, starts, counts, where, np.full((len(docs), n), 1.0 / n), EM_ROUNDS)
-    # languages that account for less than half a word leave at once
-    share = np.where(share * counts[:, None] < 0.5, 0.0, share)
+    # languages that account for less than half a word leave at once, but never the largest ones
+    share = np.where((share * counts[:, None] < 0.5) & (share < share.max(axis=1, keepdims=True)), 0.0, share)
     share /= share.sum(axis=1, keepdims=True)
     fee = PENALTY * 0.5 * np.log(np.maximum(counts, 2))
     share, total = _em(p, starts, counts, where, share, REFIT_ROUNDS)
@@ -142,7 +142,8 @@ def mixtures(loglik: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
         sub_starts = np.concatenate(([0], np.cumsum(sub_counts)[:-1]))
         sub_rows = np.repeat(np.arange(len(pick)), sub_counts)
         less = share[pick]
-        less[np.arange(len(pick)), np.where(less > 0, less, np.inf).argmin(axis=1)] = 0.0
+        least = less.shape[1] - 1 - np.where(less > 0, less, np.inf)[:, ::-1].argmin(axis=1)  # of equal ones the last
+        less[np.arange(len(pick)), least] = 0.0
         less /= less.sum(axis=1, keepdims=True)
         fitted, value = _em(p[mine], sub_starts, sub_counts, sub_rows, less, REFIT_ROUNDS)
         better = value + fee[pick] > total[pick]
