@@ -91,3 +91,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert len(rows) == 5 and sorted(str(r.component_id) for r in rows) == ["2", "4", "4", "4", "None"]
     assert sorted(str(r.doc_id) for r in S.keep_one(df).collect()) == ["2", "4", "None"]
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_ids_with_different_texts_lose_none(spark):
+    rng = random.Random(9)
+    words = ["uno", "dos", "four", "six", "sept", "ocho", "neun", "ten"]
+    a, b, c = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(3))
+    # 7 names a's and c's components; its other text b belongs to the component that 2 names
+    rows = [(7, a, "x"), (7, b, "x"), (7, c, "x"), (7, c, "x"), (9, a, "x"), (2, b, "x"), (None, c, "x"), (None, "alone", "x")]
+    assert len({slow_fingerprint(t) for t in (a, b, c)}) == 3
+    for _ in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        got = S.keep_one(df)
+        assert got.columns == df.columns
+        assert sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted([(0, "alone"), (2, b), (7, a), (7, c)])

@@ -109,24 +109,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns: the one whose id names it.
 
-    A component that has no id at all is represented by any one of its rows.  Texts are shuffled once, by id.
+    Of several fingerprints under that id in the component the least stays.  A component that has no id at all is
+    represented by any one of its rows.  Texts are shuffled once, by id; only those of an id that has several
+    fingerprints are fingerprinted again, so that the id's other texts don't pass for the one kept.
     """
     prints, owner = _owners(docs, id_col, text_col)
-    kept = prints.join(owner, "fp").where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    kept = C.materialize(kept, "kept")
-    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    kept = prints.join(owner, "fp").where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("__kept"), F.min("fp").alias("__fp"))
+    kept = C.materialize(kept.drop("root"), "kept")
+    several = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__several")).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("__several")
+    several = C.materialize(several, "several")
+    single = kept.join(several, F.col("__kept") == F.col("__several"), "left_anti")
+    named = docs.join(single, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     fields = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index(text_col)
-    source = docs.where(F.col(id_col).isNull()).select(*(F.col(c).alias(f) for c, f in zip(docs.columns, fields, strict=True)))
+    own = fields[docs.columns.index(id_col)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.text_slices(batches, at):
             values = np.array([fingerprint(t) for t in C.text_array(part.column(at)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=[*fields, "fp"])
 
-    nameless = source.mapInArrow(add, source.withColumn("fp", F.lit(0).cast("bigint")).schema)
-    alone = nameless.join(owner.where("component_id IS NULL"), "fp").dropDuplicates(["root"])
-    return named.unionByName(alone.select(*(F.col(f).alias(c) for f, c in zip(fields, docs.columns, strict=True))))
+    def printed(rows: DataFrame) -> DataFrame:
+        source = rows.select(*(F.col(c).alias(f) for c, f in zip(docs.columns, fields, strict=True)))
+        return source.mapInArrow(add, source.withColumn("fp", F.lit(0).cast("bigint")).schema)
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(f).alias(c) for f, c in zip(fields, docs.columns, strict=True)))
+
+    alone = printed(docs.where(F.col(id_col).isNull())).join(owner.where("component_id IS NULL"), "fp").dropDuplicates(["root"])
+    out = named.unionByName(restored(alone))
+    if several.isEmpty():
+        return out
+    again = printed(docs.join(several, F.col(id_col) == F.col("__several"), "left_semi"))
+    again = again.join(kept, (F.col(own) == F.col("__kept")) & (F.col("fp") == F.col("__fp")), "left_semi").dropDuplicates([own, "fp"])
+    return out.unionByName(restored(again))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
