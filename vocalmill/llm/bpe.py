@@ -6,6 +6,10 @@ rank.  Texts are cut by a pattern and each match is encoded separately; a match
 token.  Bytes travel through the library as the printable characters of the usual byte table; decoding reverses
 this table and joins bytes, so a character that two tokens share comes out whole.
 
+A text with a match that has a code point unassigned in Python's Unicode tables is cut and encoded as a whole by
+tiktoken with the same ranks, as the libraries' patterns class such code points differently.  Where offsets are asked
+for, all texts go through the tokenizers library, so the ids and offsets of such a text may differ.
+
 Defined cases: a null or empty text has no tokens and decodes to no bytes; repeated rows give repeated results;
 an empty table gives an empty result; only the id and the text are read, so other columns can't clash.
 """
