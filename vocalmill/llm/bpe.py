@@ -4,14 +4,16 @@ A rank file gives the vocabulary: a token's bytes and its rank, which is its id.
 library wants merges, so every split of a token into two lower tokens becomes one, in the order of the token's
 rank.  Texts are cut by a pattern and each match is encoded separately; a match that is itself a token is that
 token.  Bytes travel through the library as the printable characters of the usual byte table; decoding reverses
-this table and joins bytes, so a character that two tokens share comes out whole.
+this table and joins bytes, so a character that two tokens share comes out whole.  The library also gives the
+offsets of the tokens in their match, which the match's own place makes offsets in the text.
 
-A text with a match that has a code point unassigned in Python's Unicode tables is cut and encoded as a whole by
-tiktoken with the same ranks, as the libraries' patterns class such code points differently.  Where offsets are asked
-for, all texts go through the tokenizers library, so the ids and offsets of such a text may differ.
+Where the pattern's classes are cut by another version of Unicode than the rank library's (characters without a
+category in Python's tables), the cut is made on a copy of the text in which such a character is replaced by one
+of the class that the rank library gives it; the matches are then taken from the text itself.
 
-Defined cases: a null or empty text has no tokens and decodes to no bytes; repeated rows give repeated results;
-an empty table gives an empty result; only the id and the text are read, so other columns can't clash.
+Defined cases: a null or empty text has no tokens and decodes to no bytes; a very long text is encoded whole; ids
+don't depend on which outputs are asked for; repeated rows give repeated results; an empty table gives an empty
+result; only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -62,9 +64,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str):
-    """The tokenizer of whole texts, that of single matches, and the bytes of each id; once a process."""
+    """The encoder of texts by their matches, and the bytes of each id; once a process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     ranks = read_ranks(path)
     chars = byte_table()
@@ -74,58 +76,114 @@ def codec(path: str, pattern: str):
         splits = ((token[:i], token[i:]) for i in range(1, len(token)))
         lower = [(ranks[a], ranks[b], a, b) for a, b in splits if ranks.get(a, rank) < rank and ranks.get(b, rank) < rank]
         merges += [(spell[a], spell[b]) for _, _, a, b in sorted(lower)]
-    model = models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=100_000)
-    tokenizer = Tokenizer(model)
-    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), as_bytes])
-    single = Tokenizer(model)
-    single.pre_tokenizer = as_bytes
+    single = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=100_000))
+    single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     back = {c: b for b, c in enumerate(chars)}
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = bytes(back[c] for c in spell[token])
-    return tokenizer, Matches(single, pattern, ranks), table
+    return Matches(single, pattern), table
 
 
 @lru_cache(maxsize=1)
-def unassigned():
-    """A compiled class of the characters that have no category in Python's Unicode tables."""
+def unassigned() -> tuple[re.Pattern, str]:
+    """A compiled class of the characters that have no category in Python's Unicode tables, and all of them."""
     none = [unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)]
     edges = [c for c in range(1, 0x110000) if none[c] != none[c - 1]] + [0x110000]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges, edges[1:], strict=False) if none[a]) + "]")
+    spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if none[a]]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in spans) + "]"), "".join(chr(c) for a, b in spans for c in range(a, b))
+
+
+#: A class of characters that patterns name, and a character that is in it by every version of Unicode.
+STAND_INS = {r"\p{L}": "\u3042", r"\p{N}": "\u00b2"}
+NEITHER = "\u2042"
+
+
+@lru_cache(maxsize=1)
+def alignment() -> dict[int, str]:
+    """For characters that the regex module classes unlike the rank library: a character of the class they have there.
+
+    The rank library encodes nothing but what its pattern matches, so a pattern of one class shows what is in it.
+    """
+    import regex
+    import tiktoken
+
+    _, every = unassigned()
+    own, theirs = {}, {}
+    for name, stand_in in STAND_INS.items():
+        own |= dict.fromkeys(regex.findall(name, every), stand_in)
+        probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs |= dict.fromkeys(bytes(probe.encode_ordinary(every)).decode("utf-8"), stand_in)
+    return {ord(c): theirs.get(c, NEITHER) for c in own.keys() | theirs.keys() if own.get(c) != theirs.get(c)}
 
 
 class Matches:
-    """The ids of texts as little-endian unsigned 32-bit integers, from the matches of a pattern."""
+    """Ids and offsets of texts from the matches of a pattern; each distinct match is given to the library once, and kept."""
 
-    def __init__(self, tokenizer, pattern: str, ranks: dict[bytes, int]):
+    def __init__(self, tokenizer, pattern: str):
         import regex
-        import tiktoken
-
-        self.tokenizer, self.find, self.known = tokenizer, regex.compile(pattern).findall, {}
-        self.odd = unassigned().search
-        self.other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer, self.pattern = tokenizer, regex.compile(pattern)
+        self.odd = unassigned()[0].search
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.places: dict[str, bytes] = {}
+        self.shared: dict[str, int] = {}
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of each match in code points."""
+        aligned = text.translate(alignment()) if not text.isascii() and self.odd(text) else text
+        return [m.span() for m in self.pattern.finditer(aligned)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for piece, found in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            self.places[piece] = np.array(found.offsets, np.int32).tobytes()
+            if not piece.isascii() and (n := split_tokens(found.offsets)):
+                self.shared[piece] = n
+
+    def encode(self, texts: list[str], offsets: bool = False) -> tuple[list[bytes], list[int], list[np.ndarray] | None]:
+        """Ids of each text as little-endian unsigned 32-bit integers, the number of its tokens that share a character
+        with another, and the offsets of its tokens if asked for."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        pieces = [self.find(t) for t in texts]
-        new = {p for row in pieces for p in row if p not in self.known}
-        bad = {p for p in new if not p.isascii() and self.odd(p)}
-        odd = [i for i, row in enumerate(pieces) if not bad.isdisjoint(row)] if bad else []
-        for i in odd:
-            pieces[i] = []
-        new = list(new - bad)
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        known = self.known
-        known.update(zip(new, ids, strict=True))
-        out = [b"".join(map(known.__getitem__, row)) for row in pieces]
-        for p in new:
-            if len(p) > REMEMBERED_CHARS:
-                del known[p]
-        for i in odd:
-            out[i] = np.array(self.other.encode_ordinary(texts[i]), "<u4").tobytes()
-        return out
+            self._clear()
+        find, known = self.pattern.findall, self.known
+        pieces = [find(t) for t in texts]
+        new = {p for row in pieces for p in row if p not in known}
+        odd = {p for p in new if not p.isascii() and self.odd(p)}
+        starts: dict[int, list[int]] = {}
+        for i, text in enumerate(texts):
+            if offsets or (odd and not odd.isdisjoint(pieces[i])):
+                spans = self.spans(text)
+                pieces[i] = [text[a:b] for a, b in spans]
+                starts[i] = [a for a, _ in spans]
+        if odd:
+            new = {p for row in pieces for p in row if p not in known}
+        self._learn(list(new))
+        ids = [b"".join(map(known.__getitem__, row)) for row in pieces]
+        shared = [0 if t.isascii() else sum(self.shared.get(p, 0) for p in row) for t, row in zip(texts, pieces, strict=True)] if self.shared else [0] * len(texts)
+        out = None
+        if offsets:
+            out = []
+            for i, row in enumerate(pieces):
+                rest = np.frombuffer(b"".join(map(self.places.__getitem__, row)), np.int32).reshape(-1, 2)
+                out.append(rest + np.repeat(np.array(starts[i], np.int32), [len(known[p]) // 4 for p in row])[:, None])
+        for p in new:  # long ones would take room, and odd ones have to be seen again to be cut again
+            if len(p) > REMEMBERED_CHARS or (odd and not p.isascii() and self.odd(p)):
+                del known[p], self.places[p]
+                self.shared.pop(p, None)
+        return ids, shared, out
+
+
+def split_tokens(offsets: list[tuple[int, int]]) -> int:
+    """How many tokens hold only a part of a character: their range overlaps that of a neighbour."""
+    cut = [False] * len(offsets)
+    for k in range(1, len(offsets)):
+        if offsets[k][0] < offsets[k - 1][1]:
+            cut[k - 1] = cut[k] = True
+    return sum(cut)
 
 
 def decode_ids(ids: Iterable[int], table: list[bytes]) -> bytes:
@@ -141,7 +199,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     32-bit integers; ``decoded_sha256``, of the bytes that the ids decode to.
     """
     path, pat = ranks_path or default_ranks(), pattern or default_pattern()
-    types = {"ids": "array<int>", "offsets": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+    types = {"ids": "array<int>", "offsets": "array<int>", "ids_sha256": "string", "decoded_sha256": "string", "n_split": "bigint"}
     unknown = [x for x in outputs if x not in types]
     if unknown:
         raise ValueError(f"unknown outputs: {unknown}")
@@ -150,20 +208,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     schema = ", ".join([f"__id {id_type}", "n_tokens bigint", *(f"{x} {types[x]}" for x in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, matches, table = codec(path, pat)
+        matches, table = codec(path, pat)
         for part in C.text_slices(batches):
-            texts = C.text_array(part.column(1)).to_pylist()
-            if "offsets" in outputs:
-                encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
-                ids = [np.array(e.ids, "<u4").tobytes() for e in encoded]
-            else:
-                ids = matches.encode(texts)
+            ids, shared, offsets = matches.encode(C.text_array(part.column(1)).to_pylist(), "offsets" in outputs)
             columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
             for name in outputs:
                 if name == "ids":
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 elif name == "offsets":
-                    columns.append(pa.array([[v for span in e.offsets for v in span] for e in encoded], pa.list_(pa.int32())))
+                    columns.append(pa.array([x.ravel() for x in offsets], pa.list_(pa.int32())))
+                elif name == "n_split":
+                    columns.append(pa.array(shared, pa.int64()))
                 elif name == "ids_sha256":
                     columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
                 else:
@@ -185,7 +240,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *,
     schema = f"__id {source.schema[0].dataType.simpleString()}, decoded binary, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, table = codec(path, pat)
+        _, table = codec(path, pat)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -197,7 +252,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *,
 
 def digests(docs: DataFrame) -> DataFrame:
     """The contract's columns for a table of documents, in one pass over the texts."""
-    return encode(docs, outputs=("ids_sha256", "decoded_sha256"))
+    return encode(docs, outputs=("ids_sha256", "decoded_sha256", "n_split"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
