@@ -7,12 +7,14 @@ two signatures is the share of equal entries.
 
 For each document an edited text is also fingerprinted: its last half replaced by the beginning of the next
 document.  Next means by ascending id (then by text hash), and after the last comes the first.  Documents are
-dealt once, by key ranges; the first of each range also goes to the range before, so no text is joined or sorted
-globally.  The driver sees two keys a range.
+dealt once, by key ranges of which each task gets one; the first of each range also goes to the range before, so no
+text is joined or sorted globally.  The driver sees two keys a range.
 
 Defined cases: a null text is empty; an empty text has an all-zero signature; a text shorter than k is its own
-only k-mer; a single k-mer makes a tuple of one; repeated rows follow one another; null ids come first; a table
-of one row is followed by itself; an empty table gives an empty result; other columns are not read.
+only k-mer; a single k-mer makes a tuple of one; a very long text is fingerprinted whole, in tables of a bounded
+number of cells; repeated rows follow one another; of equal ids the lesser text hash comes first; null ids come
+first; of equal least k-mers the one earlier in the text is taken; a table of one row is followed by itself; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -159,7 +161,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = []
 
     dealt = source.mapInArrow(deal, f"range int, ahead int, __id {id_type}, __text string, th bigint")
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "__id", "th")
+    ordered = dealt.repartitionById(max(1, len(starts)), F.col("range")).sortWithinPartitions("ahead", "__id", "th")  # one range a task
     schema = f"__id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
 
