@@ -10,8 +10,11 @@ Training documents are those whose crc32 of the id as text is not 2 modulo 4, wi
 are summed in blocks by language, so no task or message grows with the corpus.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if no language was
-learned; of equally likely languages the one that sorts first stays; a null id is never held out and never trained on; repeated rows count each; an empty table gives an empty
-result; only id, text and language are read.
+learned; a very long text is read whole; of languages with equal shares the one that sorts last leaves first, and the
+one that sorts first is predicted; a null id is never held out and never trained on; repeated rows count each; an
+empty table gives an empty result; only id, text and language are read.  The model takes 256 KB a language, on the
+driver and on each executor; more than ``MAX_LANGUAGES`` distinct values of the language column are an error, as that
+is no column of languages.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ EM_ROUNDS, REFIT_ROUNDS = 10, 4
 PENALTY = 3.0
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: Distinct languages that may be learned.
+MAX_LANGUAGES = 512
 
 _LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 _CLEAN = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
@@ -88,6 +93,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for (name, k), values in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["lang", "block", "counts"])
 
+    if used.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"column {lang_col} has more than {MAX_LANGUAGES} values")
     schema = "lang string, block int, counts binary"
     rows = used.mapInArrow(count, schema).repartition(F.col("lang"), F.col("block")).mapInArrow(add, schema).collect()
     names = sorted({r.lang for r in rows})
@@ -126,11 +133,7 @@ def mixtures(loglik: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     p = np.exp((loglik - loglik.max(axis=1, keepdims=True)).astype(np.float64))
     n = loglik.shape[1]
     share, total = _em(p, starts, counts, where, np.full((len(docs), n), 1.0 / n), EM_ROUNDS)
-    # languages that account for less than half a word leave at once, but never the largest ones
-    share = np.where((share * counts[:, None] < 0.5) & (share < share.max(axis=1, keepdims=True)), 0.0, share)
-    share /= share.sum(axis=1, keepdims=True)
     fee = PENALTY * 0.5 * np.log(np.maximum(counts, 2))
-    share, total = _em(p, starts, counts, where, share, REFIT_ROUNDS)
     open_ = np.ones(len(docs), bool)
     while True:
         open_ &= (share > 0).sum(axis=1) > 1
