@@ -5,13 +5,15 @@ in a text (only those that clearly tell the classes apart in training) and the p
 training those probabilities are out of fold: each comes from a model that has not seen the row.  In prediction
 they come from the models fitted on all training rows.
 
-The fit reads at most ``TRAIN_ROWS`` labelled rows, those with the least hash of the id; they travel as
-hashes.  Scoring is one pass over whole texts with nothing shuffled.
+The fit reads at most ``TRAIN_ROWS`` labelled ids, those with the least hash, one row for each; a row travels as at
+most ``ROW_FEATURES`` hashes (the least ones), so the driver gets 128 MB at the very most.  Scoring is one pass over
+whole texts with nothing shuffled.
 
 Defined cases: a null, empty or wordless text has no features and gets the base rate; label rows without a value
 that a category asks for are left out; labels of unknown documents are left out; without any labelled row of both
-classes a category is predicted by its rate (0 without rows); repeated rows get repeated results; other columns
-pass through.
+classes a category is predicted by its rate (0 without rows); of several texts or labels under one id the one with the
+least hashes is trained on; a very long text is scored whole; a probability equal to the threshold rejects; repeated
+rows get repeated results; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ REJECTING = ("toxic", "severe")
 THRESHOLD = 0.5
 #: The bound of the labelled rows that the chain is fitted on.
 TRAIN_ROWS = 8_000
+#: Features of a training row that are sent to the driver; texts of some 600 words or fewer have no more.
+ROW_FEATURES = 4_096
 FOLDS = 5
 #: Beginnings of so many bytes are features of longer words, besides whole words.
 PREFIXES = (5, 6, 7, 8, 9)
@@ -159,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the chain on a bounded sample of labelled documents."""
     wanted = [F.expr(condition).cast("int").alias(f"y{k}") for k, (_, condition) in enumerate(categories)]
     known = labels.select(F.col(id_col).alias("__key"), *wanted).dropna()
-    sample = known.orderBy(F.xxhash64("__key"), "__key", *(f"y{k}" for k in range(len(categories)))).limit(train_rows).dropDuplicates(["__key"])
+    sample = known.orderBy(F.xxhash64("__key"), "__key", *(f"y{k}" for k in range(len(categories)))).limit(train_rows)
+    sample = sample.groupBy("__key").agg(*(F.min(f"y{k}").alias(f"y{k}") for k in range(len(categories))))
     texts = C.id_and_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("__id") == F.col("__key"))  # at most train_rows rows of a few numbers
     names = [f"y{k}" for k in range(len(categories))]
     columns = texts.select(F.xxhash64("__key").alias("h"), "__text", *names)
@@ -169,11 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found, rows = features(part.column(1))
             order = np.argsort(rows, kind="stable")
             bounds, found = np.searchsorted(rows[order], np.arange(part.num_rows + 1)), found[order]
-            raw = [np.unique(found[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            raw = [np.unique(found[a:b])[:ROW_FEATURES].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), *part.columns[2:]], names=["h", "words", *names])
 
-    got = columns.mapInArrow(hashed, "h bigint, words binary, " + ", ".join(f"{y} int" for y in names)).toArrow()
-    got = got.take(np.argsort(got.column("h").to_numpy(), kind="stable")[:train_rows])
+    each_row = columns.mapInArrow(hashed, "h bigint, words binary, " + ", ".join(f"{y} int" for y in names))
+    one = each_row.groupBy("h").agg(F.min(F.struct("words", *names)).alias("r")).select("h", "r.*")  # one row an id, before anything is collected
+    got = one.toArrow().sort_by("h")
     each = [np.frombuffer(x, np.uint32) for x in got.column("words").to_pylist()]
     rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
     hashes = np.concatenate(each) if each else np.zeros(0, np.uint32)
