@@ -80,9 +80,11 @@ def shuffle_parts(df: DataFrame, mb: int = 16) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where the session names none and runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vocalmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
