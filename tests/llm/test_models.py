@@ -161,29 +161,41 @@ def test_quality_accuracies_of_independent_labellers():
 
 
 def slow_scan(text, threshold=S.THRESHOLD):
-    """All lines against all templates, without pruning."""
-    listed, _ = S.templates(None)
-    out = []
-    for i, line in enumerate((text or "").split("\n")):
-        grams = S.bigrams(S.words_of(line))
-        scored = [(-2 * len(grams & own) / (len(grams) + len(own)), key) for key, own in listed if grams]
-        if scored and -min(scored)[0] >= threshold:
-            out.append((min(scored)[1], -min(scored)[0], i, 1))
-    return out
-
-
-def test_licence_lines_equal_a_scan_without_pruning(spark):
+    """All windows of content lines against all templates, without pruning; the most alike that don't overlap."""
+    listed = [(key, g) for key, _, t in S.template_texts() if (g := S.bigrams(S.words_of(t)))]
+    content = [(i, w) for i, line in enumerate((text or "").split("\n")) if (w := S.words_of(line)) and w[0] != b"copyright"]
+    found = []
+    for i in range(len(content)):
+        words, grams = [], set()
+        for j in range(i, len(content)):
+            grams |= S.bigrams(words[-1:] + content[j][1])
+            words += content[j][1]
+            scored = [(-2 * len(grams & own) / (len(grams) + len(own)), key) for key, own in listed if grams]
+            if scored and -min(scored)[0] >= threshold:
+                found.append((min(scored)[0], j - i, i, min(scored)[1]))
+    taken, out = set(), []
+    for score, more, i, key in sorted(found):
+        if taken.isdisjoint(range(i, i + more + 1)):
+            taken |= set(range(i, i + more + 1))
+            out.append((key, -score, content[i][0], content[i + more][0] - content[i][0] + 1))
+    return sorted(out, key=lambda x: x[2])
+
+
+def test_licences_equal_a_scan_without_pruning(spark):
     rng = random.Random(8)
     lines = [t.split("\n")[0] for _, _, t in S.template_texts()] + ["Some line of text.", "", "licensed"]
+    rows = [line for _, kind, text in S.template_texts() if kind == "notice" for line in textwrap.wrap(text, 78)]
     docs = []
-    for i in range(60):
+    for i in range(40):
         picked = [" ".join(w for w in rng.choice(lines).split() if rng.random() > 0.04) for _ in range(rng.randint(0, 4))]
         docs.append((i, "\n".join(x for p in picked for x in (p, "unrelated filler of the document"))))
+        at = rng.randrange(len(rows) - 20)
+        docs.append((40 + i, "\n".join(r for r in rows[at : at + 20] for _ in range(rng.choice([0, 1, 1, 1, 2])))))
     docs += [(100 + k, t) for k, t in enumerate(ODD)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("matches", F.lit(1))
-    rows = {r.doc_id: [tuple(m) for m in r.matches] for r in S.scan_licenses(df).collect()}
+    found = {r.doc_id: [tuple(m) for m in r.matches] for r in S.scan_licenses(df).collect()}
     for i, text in docs:
-        assert [m for m in rows[i] if m[3] == 1 and "\n" in (text or "\n")] == slow_scan(text) or len((text or "").split("\n")) == 1
+        assert found[i] == slow_scan(text)
     assert S.scan_licenses(df.limit(0)).count() == 0
 
 
@@ -207,25 +219,21 @@ def test_licences_that_follow_one_another(between):
         assert {(a, 0, size), (b, size - 1 + between.count("\n"), texts[b].count("\n") + 1)} <= places
 
 
-def test_a_repeated_licence_is_the_whole_text():
+@pytest.mark.parametrize("times", range(1, 9))
+def test_a_repeated_licence_is_found_each_time(times):
     text = next(text for key, kind, text in S.template_texts() if key == "MIT" and kind == "notice")
-    found = S.scan("\n".join([text] * 4))
-    assert [m for m in found if m[3] == 4 * (text.count("\n") + 1)][0][0] == "MIT" and len(found) >= 5
-
-
-def test_licence_windows_equal_all_windows():
-    rng = random.Random(4)
-    rows = [line for key, kind, text in S.template_texts() if kind == "notice" for line in textwrap.wrap(text, 78)]
-    listed, vocabulary = S.templates(None)
-    for _ in range(30):
-        at = rng.randrange(len(rows) - 30)
-        lines = [S.words_of(x) for x in (r for r in rows[at : at + 30] for _ in range(rng.choice([0, 1, 1, 1, 2])))]
-        scores = [0.0]
-        for i, j in itertools.combinations(range(len(lines)), 2):
-            grams = S.bigrams([w for x in lines[i : j + 1] for w in x])
-            if hit := S.best_template(grams, grams & vocabulary, listed, S.THRESHOLD):
-                scores.append(hit[1])
-        assert max((m[1] for m in S.windows(lines)), default=0.0) == max(scores)
+    size = text.count("\n") + 1
+    found = S.scan("\n".join([text] * times))
+    assert found == [("MIT", 1.0, k * size, size) for k in range(times)]
+    assert S.scan("\n".join([text] * times + [S.TEXTS["Apache-2.0"]]))[-1][0] == "Apache-2.0"
+
+
+def test_a_very_long_text_and_templates_from_files(spark, tmp_path):
+    filler = "\n".join(f"plain words number {i} of the story and of the rest" for i in range(20_000))
+    assert [m[0] for m in S.scan(f"{filler}\n{S.TEXTS['ISC']}\n{filler}")] == ["ISC"]
+    (tmp_path / "Own-1.0.txt").write_text("You may do with this what you like as long as you say where it is from.")
+    own = S.read_templates(spark, f"file://{tmp_path}")
+    assert S.scan("You may do with this what you like as long as you say where it is from", own) == [("Own-1.0", 1.0, 0, 1)]
 
 
 def cut_value(side, terminal, edges):

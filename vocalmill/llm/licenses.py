@@ -1,17 +1,20 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Words are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text; lines that only state a
-copyright are left out of longer pieces.  Three kinds of pieces of a document are compared: each line, windows of
-two lines or more inside each run of lines that are mostly made of template bigrams (blank lines inside allowed),
-and the whole text.  Of the windows of a run the most alike are reported, as many as don't overlap, so licences
-that follow one another are found one by one.  The coefficient
-is twice the number of common distinct bigrams by the sum of both numbers, so a template whose number of bigrams
-is too far from a piece's can't reach the threshold and is not compared; a piece without any template bigram isn't
-either.  Nothing is shuffled; the templates are a fixed table of a few kilobytes.
-
-Defined cases: a null or empty text has no pieces; a piece of fewer than two words has no bigram; equal scores go
-to the template whose name sorts first, and to the window that begins first; lines beside a window that add no bigram
-to it belong to it; repeated rows get repeated results; an empty table gives an empty result;
+Words are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text.  A text's content is its
+lines that have words and don't begin with the word copyright; every window of consecutive content lines, from one
+line to the whole text, is a piece.  The coefficient is twice the number of common distinct bigrams by the sum of
+both numbers.  Of the windows that are like a template, the most alike are reported, as many as don't overlap, so
+licences that follow one another, or are repeated, are found one by one.
+
+Windows are pruned by bounds that lose nothing.  With threshold t, n bigrams in the window and m in the template, of
+which c are common: c >= t (n + m) / 2 and c <= m, so the bigrams of the window that no template has are at most
+(2 / t - 2) m, and the others at least t n / (2 - t).  A window whose first or last line adds no template bigram is
+never reported, as it scores less without that line, or the same with fewer lines.  Nothing is shuffled; the templates
+are a fixed table of a few kilobytes.
+
+Defined cases: a null or empty text has no pieces; a window of fewer than two words has no bigram; of equal scores the
+window of fewer lines, then the one that begins first, then the template whose name sorts first is reported; a very long
+text is scanned whole, a window at a time; repeated rows get repeated results; an empty table gives an empty result;
 only the id and the text are read.
 """
 
@@ -29,8 +32,8 @@ from . import _common as C
 from .decontamination import words_of
 
 THRESHOLD = 0.8
-#: A line belongs to a run if this share of its bigrams occurs in the templates.
-RUN_SHARE = 0.6
+#: Characters of all templates together; more is no table to give to every executor.
+MAX_TEMPLATE_CHARS = 16_000_000
 
 # Names of licences that are commonly stated in one sentence, with their identifiers.
 STATED = {
@@ -98,126 +101,80 @@ def template_texts() -> list[tuple[str, str, str]]:
     return out
 
 
-@lru_cache(maxsize=4)
-def templates(texts: tuple[tuple[str, str, str], ...] | None = None) -> tuple[list[tuple[str, set]], set]:
-    """Licences with their bigrams, by number of bigrams and name, and all bigrams; equal templates of a licence once."""
-    found = {(key, frozenset(bigrams(words_of(text)))) for key, _, text in (texts or tuple(template_texts()))}
-    listed = sorted(((key, set(grams)) for key, grams in found if grams), key=lambda x: (len(x[1]), x[0], sorted(x[1])))
-    return listed, set().union(*(grams for _, grams in listed)) if listed else set()
-
-
-def best_template(grams: set, common: set, listed: list[tuple[str, set]], threshold: float) -> tuple[str, float] | None:
-    """The most alike template of at least the threshold, by size bounds first."""
-    n, best = len(grams), None
-    if 2 * len(common) < threshold * (len(common) + n):  # even a template of just the common bigrams would not do
-        return None
-    for key, own in listed:
-        m = len(own)
-        if 2 * min(n, m) < threshold * (n + m):
-            continue
-        score = 2 * len(common & own) / (n + m)
-        if score >= threshold and (best is None or score > best[1] or (score == best[1] and key < best[0])):
-            best = key, score
-    return best
+def read_templates(spark: SparkSession, folder: str) -> tuple[tuple[str, str, str], ...]:
+    """Templates from a folder of text files, a licence each, named by the file without its ending; for ``texts``."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value"))
+    if (files.agg(F.sum(F.length("value"))).first()[0] or 0) > MAX_TEMPLATE_CHARS:
+        raise ValueError(f"the templates in {folder} have more than {MAX_TEMPLATE_CHARS} characters")
+    return tuple(sorted((r.name.rsplit(".", 1)[0] if r.name.endswith(".txt") else r.name, "text", r.value) for r in files.collect()))
 
 
-@lru_cache(maxsize=4)
-def _members(texts: tuple[tuple[str, str, str], ...] | None = None) -> tuple[dict, np.ndarray]:
-    """The templates (places in the list) that have each bigram, and the number of bigrams of each template."""
-    listed, vocabulary = templates(texts)
-    return {g: np.array([k for k, (_, own) in enumerate(listed) if g in own]) for g in vocabulary}, np.array([len(own) for _, own in listed])
+class Templates:
+    """The templates of each bigram, and the name and number of bigrams of each; equal templates of a licence once."""
+
+    def __init__(self, texts: tuple[tuple[str, str, str], ...]):
+        found = {(key, frozenset(bigrams(words_of(text)))) for key, _, text in texts}
+        listed = sorted(((key, grams) for key, grams in found if grams), key=lambda x: (x[0], len(x[1]), sorted(x[1])))
+        self.names = [key for key, _ in listed]
+        self.sizes = np.array([len(grams) for _, grams in listed], np.int64)
+        where: dict = {}
+        for k, (_, grams) in enumerate(listed):
+            for g in grams:
+                where.setdefault(g, []).append(k)
+        self.where = {g: np.array(at) for g, at in where.items()}
+        self.largest = int(self.sizes.max(initial=0))
+
 
+@lru_cache(maxsize=4)
+def templates(texts: tuple[tuple[str, str, str], ...] | None = None) -> Templates:
+    return Templates(tuple(template_texts()) if texts is None else texts)
 
-def windows(lines: list[list[bytes]], texts: tuple[tuple[str, str, str], ...] | None = None, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
-    """(licence, score, first line, last line) of the most alike windows of two lines or more that don't overlap.
 
-    A window is left once its first line adds no bigram to it, as the shorter one has the same bigrams, or once it
-    has more bigrams than any template allows.  So each line is in at most as many windows as these bigrams.
-    """
-    listed, _ = templates(texts)
-    members, sizes = _members(texts)
-    most = (2 - threshold) / threshold * int(sizes.max(initial=0))
+def windows(lines: list[list[bytes]], known: Templates, threshold: float = THRESHOLD) -> list[tuple[float, int, int, str]]:
+    """(score, first line, last line, licence) of each window that is like a template, but for those that can't be reported."""
+    where, sizes = known.where, known.sizes
+    strange = (2 / threshold - 2) * known.largest + 1e-9
+    share = threshold / (2 - threshold) - 1e-9
     own = [bigrams(words) for words in lines]
     joint = [(a[-1], b[0]) for a, b in zip(lines, lines[1:], strict=False)]
+    hit = [not where.keys().isdisjoint(grams) for grams in own]
+    crossed = [g in where for g in joint]
     found = []
-    for i in range(len(lines) - 1):
-        alone, grams, common = {*own[i], joint[i]}, set(), np.zeros(len(listed), np.int64)
+    for i in range(len(lines)):
+        if not (hit[i] or (i < len(joint) and crossed[i])):
+            continue
+        grams: set = set()
+        common = np.zeros(len(sizes), np.int64)
+        alike = 0
         for j in range(i, len(lines)):
-            fresh = (own[j] if j == i else own[j] | {joint[j - 1]}) - grams
-            if j > i:
-                alone -= own[j] if j == i + 1 else own[j] | {joint[j - 1]}
-            if not alone or len(grams) + len(fresh) > most:
-                break
+            fresh = own[j] - grams if j == i else (own[j] | {joint[j - 1]}) - grams
             grams |= fresh
             for g in fresh:
-                if (at := members.get(g)) is not None:
+                if (at := where.get(g)) is not None:
                     common[at] += 1
-            if j > i and fresh:
-                scores = 2 * common / (len(grams) + sizes)
-                score = float(scores.max())
-                if score >= threshold:
-                    found.append((-score, i, j, min(listed[k][0] for k in np.flatnonzero(scores == score))))
-    taken, out = [False] * len(lines), []
-    for score, i, j, key in sorted(found):
-        if any(taken[i : j + 1]):
-            continue
-        grams = bigrams([w for words in lines[i : j + 1] for w in words])
-        while j + 1 < len(lines) and not taken[j + 1] and joint[j] in grams and own[j + 1] <= grams:
-            j += 1
-        while i and not taken[i - 1] and joint[i - 1] in grams and own[i - 1] <= grams:
-            i -= 1
-        taken[i : j + 1] = [True] * (j + 1 - i)
-        out.append((key, -score, i, j))
-    return out
+                    alike += 1
+            if len(grams) - alike > strange:
+                break
+            if not fresh or not (hit[j] or (j > i and crossed[j - 1])) or alike < share * len(grams):
+                continue
+            scores = 2 * common / (len(grams) + sizes)
+            best = int(scores.argmax())  # the first of equal ones, and names are in order
+            if scores[best] >= threshold:
+                found.append((float(scores[best]), i, j, known.names[best]))
+    return found
 
 
 def scan(text: str | None, texts: tuple[tuple[str, str, str], ...] | None = None, threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
-    """(licence, score, first line, lines) of each piece of a text that is like a template; lines count from 0.
-
-    A whole text is reported with all its lines; a run that is the whole text only if that doesn't say the same.
-    """
+    """(licence, score, first line, number of lines) of the reported windows of a text, in order; lines count from 0."""
     if not text:
         return []
-    listed, vocabulary = templates(texts)
-    lines = [words_of(line) for line in text.split("\n")]
-    found = []
-    most = (2 - threshold) / threshold * max((len(own) for _, own in listed), default=0)
-    whole: set = set()  # bigrams of the content's lines, as far as a template allows
-    run: list[int] = []
-    runs = []
-    shared_any = False
-    for i, words in enumerate([*lines, None]):
-        grams = bigrams(words) if words else set()
-        common = grams & vocabulary
-        if common:
-            shared_any = True
-            if hit := best_template(grams, common, listed, threshold):
-                found.append((*hit, i, 1))
-        notice = words is not None and (not words or words[0] == b"copyright")
-        if grams and not notice and len(whole) <= most:
-            whole |= grams
-        if words is not None and (notice or (grams and len(common) >= RUN_SHARE * len(grams))):
-            if run or not notice:
-                run.append(i)
-        elif run:
-            runs.append(run)
-            run = []
-    if not shared_any:
-        return []
-    content = [i for i, words in enumerate(lines) if words and words[0] != b"copyright"]
-
-    hit = None
-    if len(content) > 1 and len(whole) <= most:
-        grams = bigrams([w for i in content for w in lines[i]])
-        if hit := best_template(grams, grams & vocabulary, listed, threshold):
-            found.append((*hit, 0, len(lines)))
-    for rows in runs:
-        rows = [i for i in rows if lines[i] and lines[i][0] != b"copyright"]
-        pieces = windows([lines[i] for i in rows], texts, threshold) if len(rows) > 1 else []
-        if hit and rows == content and [key for key, *_ in pieces] == [hit[0]]:
-            continue
-        found += [(key, score, rows[a], rows[b] - rows[a] + 1) for key, score, a, b in pieces]
-    return sorted(found, key=lambda x: (x[2], x[3], x[0]))
+    content = [(i, words) for i, line in enumerate(text.split("\n")) if (words := words_of(line)) and words[0] != b"copyright"]
+    taken, out = [False] * len(content), []
+    for score, i, j, key in sorted(windows([w for _, w in content], templates(texts), threshold), key=lambda x: (-x[0], x[2] - x[1], x[1], x[3])):
+        if not any(taken[i : j + 1]):
+            taken[i : j + 1] = [True] * (j + 1 - i)
+            out.append((key, score, content[i][0], content[j][0] - content[i][0] + 1))
+    return sorted(out, key=lambda x: x[2])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, texts: tuple[tuple[str, str, str], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,5 +197,54 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m.dice)), F.lit(0.0)).alias("best_dice"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_W = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+_SQL = f"""
+WITH RECURSIVE given AS (SELECT * FROM (VALUES {{values}}) AS v(name, body)),
+tmpl AS (SELECT row_number() OVER () AS t, name, grams, CAST(len(grams) AS double) AS m FROM (SELECT DISTINCT name, list_sort({_PAIRS}) AS grams FROM (SELECT name, {_W.format("body")} AS w FROM given)) WHERE len(grams) > 0),
+member AS (SELECT t, unnest(grams) AS g FROM tmpl),
+vocabulary AS (SELECT DISTINCT g FROM member),
+lines AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, lead(w[1]) OVER (PARTITION BY doc_id ORDER BY i) AS follows
+  FROM (SELECT doc_id, i, {_W.format("s[i]")} AS w FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))
+  WHERE len(w) > 0 AND w[1] != 'copyright'),
+occurs AS (
+  SELECT x.*, v.g IS NOT NULL AS alike FROM (
+    SELECT doc_id, k AS a, k AS b, unnest({_PAIRS}) AS g FROM lines
+    UNION ALL SELECT doc_id, k, k + 1, w[len(w)] || ' ' || follows FROM lines WHERE follows IS NOT NULL) x LEFT JOIN vocabulary v USING (g)),
+starts AS (SELECT DISTINCT doc_id, a AS i FROM occurs WHERE alike),
+ends AS (SELECT DISTINCT doc_id, b AS j FROM occurs WHERE alike),
+met AS (SELECT s.doc_id, s.i, o.g, o.alike, min(o.b) AS b FROM starts s JOIN occurs o ON o.doc_id = s.doc_id AND o.a >= s.i GROUP BY ALL),
+strange AS (SELECT doc_id, i, b, row_number() OVER (PARTITION BY doc_id, i ORDER BY b) AS nth FROM met WHERE NOT alike),
+reach AS (SELECT doc_id, i, min(b) AS over FROM strange WHERE nth > (SELECT 0.5 * max(m) FROM tmpl) GROUP BY doc_id, i),
+near AS (SELECT met.* FROM met LEFT JOIN reach USING (doc_id, i) WHERE reach.over IS NULL OR b < reach.over),
+wins AS (
+  SELECT x.doc_id, x.i, e.j, CAST(count(*) AS double) AS n, count_if(x.alike) AS c
+  FROM near x JOIN ends e ON e.doc_id = x.doc_id AND e.j >= x.b LEFT JOIN reach r ON r.doc_id = x.doc_id AND r.i = x.i
+  WHERE e.j >= x.i AND (r.over IS NULL OR e.j < r.over) GROUP BY ALL HAVING 3 * count_if(x.alike) >= 2 * count(*)),
+scored AS (
+  SELECT w.doc_id, w.i, w.j, tmpl.name, 2 * count(*) / (w.n + tmpl.m) AS score
+  FROM wins w JOIN near x ON x.doc_id = w.doc_id AND x.i = w.i AND x.b <= w.j AND x.alike JOIN member USING (g) JOIN tmpl ON tmpl.t = member.t
+  GROUP BY w.doc_id, w.i, w.j, w.n, tmpl.t, tmpl.name, tmpl.m HAVING 2 * count(*) / (w.n + tmpl.m) >= {THRESHOLD}::double),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, j - i, i, name) AS r FROM scored),
+walk AS (
+  SELECT doc_id, CAST(0 AS bigint) AS r, CAST([] AS bigint[]) AS taken, CAST(NULL AS varchar) AS name, CAST(NULL AS double) AS score FROM (SELECT DISTINCT doc_id FROM ranked)
+  UNION ALL
+  SELECT p.doc_id, p.r, CASE WHEN free THEN list_concat(taken, range(i, j + 1)) ELSE taken END, CASE WHEN free THEN p.name END, CASE WHEN free THEN p.score END
+  FROM (SELECT q.*, w.taken, len(list_intersect(w.taken, range(q.i, q.j + 1))) = 0 AS free FROM walk w JOIN ranked q ON q.doc_id = w.doc_id AND q.r = w.r + 1) p)
+SELECT d.doc_id, count(x.name) AS n_matches, coalesce(string_agg(DISTINCT x.name, ',' ORDER BY x.name), '') AS licenses, coalesce(max(x.score), 0) AS best_dice
+FROM documents d LEFT JOIN walk x ON x.doc_id = d.doc_id AND x.name IS NOT NULL GROUP BY d.doc_id
+"""
+
+
+def sql(texts: list[tuple[str, str, str]] | None = None) -> str:
+    """The query in SQL, for documents with unique ids."""
+    return _SQL.format(values=", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, _, text in texts or template_texts()))
+
+
 QUERIES = {"op3_license_scan": op3_license_scan}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_license_scan": sql()}
