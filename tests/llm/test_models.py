@@ -288,6 +288,49 @@ def test_class_words_of_wrappers(page, text):
     assert W.main_text(page, np.array(W.DEFAULT)) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id=aspnetForm><article><p>{0}</p></article></form>",
+        "<form id=aspnetForm><div id=content><p>{0}</p></div></form>",
+        "<div class='page has-sidebar'><article><p>{0}</p></article></div>",
+        "<div class='with-header'><main><p>{0}</p></main></div>",
+        "<div id='legal-news'><p>{0}</p></div>",
+        "<div class='share-price-report'><p>{0}</p></div>",
+        "<article class='post popular'><p>{0}</p></article>",
+        "<main class='search-results'><p>{0}</p></main>",
+        "<main><div role='form'><p>{0}</p></div></main>",
+        "<article><p>{0}</p></article><h3>3 Comments</h3><ul><li><b>Ann</b><p>Nice post!</p></li><li><b>Bob</b><p>{0}</p></li></ul>",
+        "<article><p>{0}</p><h3>Comments (2)</h3><div><b>Ann</b><p>I like it, and {0}</p></div></article>",
+    ],
+)
+def test_articles_are_kept_and_comments_are_not(page):
+    assert W.main_text(page.format(LONG), np.array(W.DEFAULT)) == SEEN
+
+
+def test_an_article_keeps_its_title():
+    assert W.main_text(f"<article><div class='entry-header'><h1>Title words</h1></div><p>{LONG}</p></article>", np.array(W.DEFAULT)) == f"Title words {SEEN}"
+
+
+def test_whole_extraction_equals_brute_force_cuts(spark):
+    """Random pages: the text is that of a least cut over all labellings, found by trying them all."""
+    rng = random.Random(21)
+    parts = ["<p>{0}</p>", "<div class=ad>Buy now</div>", "<ul><li><a href=/>Home</a></li></ul>", "<h2>Head</h2>", "<p>Short.</p>", "<div class='related'><p>{0}</p></div>", "<footer>&copy; x</footer>", "<div><p>{0}</p><p>Yes.</p></div>", "<aside><p>{0}</p></aside>"]
+    rows, turned = [], 0
+    for k in range(120):
+        body = "".join(rng.choice(parts).format(LONG) for _ in range(rng.randint(1, 7)))
+        rows.append((k, "u", rng.choice(["<article>{0}</article>", "{0}", "<div id=content>{0}</div>"]).format(body)))
+    weights = np.array(W.DEFAULT)
+    for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), weights).collect():
+        blocks = W.blocks_of(rows[r.page_id][2])
+        terminal, edges = W.terminals(blocks, weights), W.edges_of(blocks)
+        # of equal cuts the one with the fewest content blocks
+        best = min(itertools.product([False, True], repeat=len(blocks)), key=lambda s: (round(cut_value(s, terminal, edges), 9), sum(s)))
+        assert r.text == " ".join(b.text for b, s in zip(blocks, best) if s)
+        turned += sum((t > 0) != s for t, s in zip(terminal, best))
+    assert turned > 20
+
+
 def test_terminals_leave_the_choice_to_the_cut():
     page = f"<div><p>{LONG}</p><p class=popular>{LONG}</p><p>{LONG}</p></div><div class=popular><p>{LONG}</p></div>"
     blocks = W.blocks_of(page)

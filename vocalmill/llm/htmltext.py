@@ -8,13 +8,15 @@ that say what a part is (navigation, footer, advert, comments, article ...) shif
 are joined by edges, stronger the closer they are in the tree.  The minimum cut is the labelling; blocks whose
 terminal capacity exceeds all their edges are settled first, and augmenting paths find the rest.
 
-The classifier is trained on at most ``TRAIN_PAGES`` pages (those with the least hash), on blocks that their
-elements mark: inside an article or main element, or inside navigation and the like.  Pages are independent, so
-nothing but that sample is moved.
-
-Defined cases: a null or empty page, and one without text or content, gives an empty text; unclosed and misplaced
-tags are closed as browsers do for paragraphs, list items and table cells; hidden parts don't count; without a
-trainable sample built-in weights apply; repeated rows get repeated results; other columns are not read.
+The classifier is trained on at most ``TRAIN_PAGES`` pages (those with the least hash), ``TRAIN_BLOCKS`` blocks of each,
+on blocks that elements of the HTML standard mark: inside an article or main element, or inside navigation and the
+like.  Class words give no labels, so what they mark is judged by what was learned elsewhere.  Pages are independent,
+so nothing but that sample is moved.
+
+Defined cases: a null or empty page, and one without text or content, gives an empty text; a very long page is cut
+whole; a block for which both labels cost the same is boilerplate; unclosed and misplaced tags are closed as browsers
+do for paragraphs, list items and table cells; hidden parts don't count; without a trainable sample built-in weights
+apply; repeated rows get repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 TRAIN_PAGES = 1_000
+#: Blocks of a training page that the classifier learns from, the first ones.
+TRAIN_BLOCKS = 1_000
 SURE = 1000.0
-#: Shifts of the terminal capacity, whose classifier part is at most ODDS either way.
-ODDS, IN_SHIFT, OUT_SHIFT, CLASS_SHIFT, GOOD_SHIFT, FRAME_SHIFT = 6.0, 8.0, -8.0, -7.0, 2.0, -8.0
+#: Shifts of the terminal capacity.  The classifier part is at most ODDS either way, edges are at most 3 each: no mark outweighs both.
+ODDS, IN_SHIFT, OUT_SHIFT, CLASS_SHIFT, GOOD_SHIFT, FRAME_SHIFT = 4.0, 4.0, -5.5, -5.5, 0.75, -4.0
 
 # Fixed sets of the HTML standard: elements without content, elements whose content isn't page text, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +50,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FENCES = frozenset("ul ol dl table div article section body main aside nav form".split())
 
 #: Elements and words of class, id and role that mark boilerplate, and those that mark content.
-NOT_CONTENT = frozenset("nav footer aside form dialog menu".split())
+NOT_CONTENT = frozenset("nav footer aside dialog menu".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar aside footer header masthead topbar banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login "
@@ -61,6 +65,8 @@ LAYOUT_WORDS = frozenset("no without with has".split())
 _TAG = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|([/!?]?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([/!?]?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
 _CUT_OFF = re.compile(r"<[A-Za-z/!?]")
+#: A heading over what readers wrote.
+_COMMENTS = re.compile(r"\W*(?:\d+\W+)?(?:comments?|repl(?:y|ies)|responses?|discussion|(?:leave|post|write) an? (?:comment|reply)|kommentare?|commentaires?|comentarios?)\b\W*(?:\d+)?\W*", re.I)
 _LEGAL = re.compile(r"©|\(c\)|copyright\b|all rights reserved", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -71,7 +77,8 @@ class Element:
     ``article`` and ``main`` mark "in", and so undo a mark from around them, unless an outer article holds that mark;
     an article whose own class, id or role has words for boilerplate is marked "class" if it has no word for content
     or its surroundings are marked.  Elements for boilerplate, and headers outside articles, mark "out".  Other
-    elements with words for boilerplate but none for content mark "class", where nothing marks "out" already.
+    elements with words for boilerplate but none for content mark "class", where nothing marks "out" already; so do
+    forms, as some systems wrap whole pages in one.
     Names with a layout word (no-sidebar) say nothing.
     """
 
@@ -103,7 +110,8 @@ class Element:
             self.good = True
         elif tag in NOT_CONTENT or (tag == "header" and not self.in_article):
             self.mark = "out"
-        elif words and tag not in ("html", "body"):
+        elif (words or tag == "form") and tag not in ("html", "body"):
+            bad = bad or tag == "form"
             if self.in_article and (tag == "header" or (words & {"header"} and not words & (BAD_WORDS - {"header"}))):
                 bad = False
             if bad and not good and self.mark != "out":
@@ -227,17 +235,36 @@ def features(blocks: list[Block]) -> np.ndarray:
     return rows
 
 
+def comment_blocks(blocks: list[Block]) -> list[bool]:
+    """Whether a block is a heading over readers' comments, or follows one inside the heading's parent element."""
+    out, holders = [], set()
+    for b in blocks:
+        node, under = b.element, False
+        while node is not None and not under:
+            under = id(node) in holders
+            node = node.parent
+        tag = b.element.tag
+        if not under and tag[0] == "h" and tag[1:].isdigit() and out and _COMMENTS.fullmatch(b.text):
+            holders.add(id(b.element.parent))
+            under = True
+        out.append(under)
+    return out
+
+
 def terminals(blocks: list[Block], weights: np.ndarray) -> list[float]:
     """Content capacity less boilerplate capacity of each block."""
+    said = comment_blocks(blocks)
     odds = np.clip(features(blocks) @ weights, -ODDS, ODDS).tolist()
     framed = any(b.element.mark == "in" and not b.bad for b in blocks)
     # class words say nothing if all that looks like content is under them: then they name a wrapper of the page
     told = any(not b.bad and (z > 0 or b.element.mark == "in") for b, z in zip(blocks, odds, strict=True))
     out = []
-    for b, z in zip(blocks, odds, strict=True):
+    for b, z, comment in zip(blocks, odds, said, strict=True):
         mark = b.element.mark
         if b.hidden:
             out.append(-SURE)
+        elif comment:
+            out.append(min(z, 0.0) + OUT_SHIFT + FRAME_SHIFT)
         elif mark == "in":
             out.append(z + IN_SHIFT)
         else:
@@ -359,11 +386,11 @@ def train(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAG
             keys, raw, labels = [], [], []
             for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 blocks = blocks_of(page)
-                known = [i for i, b in enumerate(blocks) if b.bad or b.element.mark == "in"]
+                known = [i for i, b in enumerate(blocks) if not b.hidden and b.element.mark in ("in", "out")][:TRAIN_BLOCKS]
                 if known:
                     keys.append(h)
                     raw.append(features(blocks)[known].astype(np.float32).tobytes())
-                    labels.append(np.array([not blocks[i].bad for i in known], np.uint8).tobytes())
+                    labels.append(np.array([blocks[i].element.mark == "in" for i in known], np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raw, pa.binary()), pa.array(labels, pa.binary())], names=["h", "x", "y"])
 
     got = sample.select("h", "page").mapInArrow(rows, "h bigint, x binary, y binary").toArrow().sort_by("h")
