@@ -106,7 +106,7 @@ def test_attribution_splits_and_falls_back(spark):
 
 def test_paragraphs(spark):
     def run(*chunks):
-        return spark.createDataFrame([(list(chunks),)], "c array<string>").select(folds.paragraphs(F.col("c"))).first()[0]
+        return folds.paragraphs(spark.createDataFrame([(list(chunks),)], "texts array<string>")).first()[0]
 
     sentence = "w" * 99 + "."
     assert run() == [] and run("", " ") == []

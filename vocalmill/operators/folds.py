@@ -1,13 +1,14 @@
 """Ordered folds over arrays (W3, W10, W12): state that runs through the rows of one recording in order.
 
 The rows of a recording are collected once, sorted by their index inside the row, and folded by a higher-order
-function, so a fold costs one shuffle on the recording's id and stays in the JVM.
+function, so a fold costs one shuffle on the recording's id and stays in the JVM.  The running state is a few numbers
+and the places where groups begin; the groups are cut out afterwards, so time is in proportion to the rows.  Turn ids
+need a set of the ids in use, which only Python has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from ..functions import text as X
 
 #: Sizes of readable paragraphs in characters.
 SOFT_CHARS, HARD_CHARS, MIN_CHARS = 850, 1200, 220
+#: Places that are gathered before they are put away; a list of lists grows without copying every place each time.
+_CHUNK = 256
 _TURN = "struct<start_ms:bigint,end_ms:bigint,speaker:string,human_label:string,text:string,flags:array<string>,notes:string,segments:int>"
 
 
@@ -23,6 +26,26 @@ def ordered(columns: list[str], by: str = "idx") -> Column:
     return F.array_sort(F.collect_list(F.struct(by, *(c for c in columns if c != by))))
 
 
+def group_starts(rows: str, state: dict[str, tuple[str, str, str]], begins: str) -> Column:
+    """The places (from 1) in an array at which a new group begins, by a fold.
+
+    ``state`` has for each running value its type, its start and its value after a row, ``begins`` whether a row begins
+    a group (null: it does).  In both, ``a`` is the state before the row ``x``; values may ask ``fresh``, the outcome of ``begins``.
+    """
+    types = f"struct<far:array<array<int>>,near:array<int>,n:int,{','.join(f'{k}:{t}' for k, (t, _, _) in state.items())}>"
+    start = f"cast(named_struct('far', array(), 'near', array(), 'n', 1, {', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, (_, v, _) in state.items())}) as {types})"
+    fresh = f"coalesce({begins}, true)"
+    full = f"{fresh} and size(a.near) >= {_CHUNK}"
+    after = ", ".join(f"'{k}', {v.replace('fresh', fresh)}" for k, (_, _, v) in state.items())
+    step = f"named_struct('far', if({full}, concat(a.far, array(a.near)), a.far), 'near', if({fresh}, if({full}, array(a.n), concat(a.near, array(a.n))), a.near), 'n', a.n + 1, {after})"
+    return F.expr(f"aggregate({rows}, {start}, (a, x) -> cast({step} as {types}), a -> flatten(concat(a.far, array(a.near))))")
+
+
+def cut(rows: Column, starts: Column) -> Column:
+    """An array cut into arrays at the places (from 1) where groups begin."""
+    return F.transform(starts, lambda s, k: F.slice(rows, s, F.coalesce(F.get(starts, k + 1), F.size(rows) + 1) - s))
+
+
 def turn_fold(segments: DataFrame, key: str = "interview_id", gap_ms: int = 1800, max_turn_ms: int = 90000, keep_flags: bool = False) -> DataFrame:
     """Fold segments into turns.
 
@@ -49,79 +72,75 @@ def turn_fold(segments: DataFrame, key: str = "interview_id", gap_ms: int = 1800
         F.lit(1).alias("segments"),
     ).cast(_TURN)
     rows = segments.select(F.col(key), "idx", turn.alias("t")).where("t.text != ''").groupBy(key).agg(ordered(["t"]).alias("rows"))
-    flags = "array_sort(array_union(a.cur.flags, s.t.flags))" if keep_flags else "a.cur.flags"
-    notes = "if(a.cur.notes = '', s.t.notes, a.cur.notes)" if keep_flags else "a.cur.notes"
-    state = f"struct<done:array<{_TURN}>,cur:{_TURN}>"
-    folded = F.expr(f"""
-      aggregate(rows, cast(named_struct('done', array(), 'cur', null) as {state}),
-        (a, s) -> cast(if(a.cur is not null and a.cur.speaker = s.t.speaker and s.t.start_ms - a.cur.end_ms <= {int(gap_ms)} and s.t.end_ms - a.cur.start_ms <= {int(max_turn_ms)},
-          named_struct('done', a.done, 'cur', named_struct('start_ms', a.cur.start_ms, 'end_ms', s.t.end_ms, 'speaker', a.cur.speaker, 'human_label', a.cur.human_label,
-            'text', concat(a.cur.text, ' ', s.t.text), 'flags', {flags}, 'notes', {notes}, 'segments', a.cur.segments + 1)),
-          named_struct('done', if(a.cur is null, a.done, concat(a.done, array(a.cur))), 'cur', s.t)) as {state}),
-        a -> if(a.cur is null, a.done, concat(a.done, array(a.cur))))""")
-    return rows.select(key, F.posexplode(folded).alias("turn", "t")).select(key, F.col("turn").cast("bigint").alias("turn"), "t.*")
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; inside a fold Spark would compute it at each mention."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+    joins = f"a.speaker = x.t.speaker and x.t.start_ms - a.last <= {int(gap_ms)} and x.t.end_ms - a.first <= {int(max_turn_ms)}"
+    state = {"speaker": ("string", "null", "x.t.speaker"), "first": ("bigint", "null", "if(fresh, x.t.start_ms, a.first)"), "last": ("bigint", "null", "x.t.end_ms")}
+    cutting = rows.withColumn("starts", group_starts("rows", state, f"not ({joins})"))
+    each = cutting.select(key, F.posexplode(cut(F.col("rows.t"), F.col("starts"))).alias("turn", "g"))
+    first = F.get("g", F.lit(0))
+    flags = F.array_sort(F.array_distinct(F.flatten("g.flags"))) if keep_flags else first["flags"]
+    notes = F.coalesce(F.get(F.filter("g.notes", lambda x: x != ""), F.lit(0)), F.lit("")) if keep_flags else first["notes"]
+    return each.select(
+        key,
+        F.col("turn").cast("bigint").alias("turn"),
+        first["start_ms"].alias("start_ms"),
+        F.element_at("g", -1)["end_ms"].alias("end_ms"),
+        first["speaker"].alias("speaker"),
+        first["human_label"].alias("human_label"),
+        F.array_join("g.text", " ").alias("text"),
+        flags.alias("flags"),
+        notes.alias("notes"),
+        F.size("g").alias("segments"),
+    )
 
 
-def paragraphs(chunks: Column) -> Column:
-    """Readable paragraphs of a speaker's texts (an array column), as an array.
+def paragraphs(chunks: DataFrame, texts: str = "texts") -> DataFrame:
+    """Readable paragraphs of a speaker's texts (the array column ``texts``), as the array column ``paragraphs`` in its place.
 
     A new text starts a paragraph once the current one has ``MIN_CHARS``; a sentence that would pass ``HARD_CHARS``
     starts one too; a finished sentence at ``SOFT_CHARS`` or more ends one.  A short last paragraph joins the one before.
     """
-    none = F.array().cast("array<string>")
-    clean = F.transform(chunks, X.collapse)
-    marked = F.flatten(
-        F.transform(clean, lambda c, i: F.transform(F.when(c == "", none).otherwise(X.sentences(c)), lambda s, j: F.struct(s.alias("s"), ((i > 0) & (j == 0)).alias("fresh"))))
+    clean = F.transform(F.col(texts), X.collapse)
+    # texts are trimmed, so their sentences join by a space and end in their last character
+    sentence = F.flatten(
+        F.transform(
+            F.filter(F.transform(clean, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"] != ""),
+            lambda x: F.transform(X.sentences(x["c"]), lambda s, j: F.struct(s.alias("s"), F.length(s).alias("n"), F.right(s, F.lit(1)).isin(".", "!", "?").alias("stop"), ((x["i"] > 0) & (j == 0)).alias("opens"))),
+        )
     )
-    start = F.struct(none.alias("done"), F.lit("").alias("cur")).cast("struct<done:array<string>,cur:string>")
-
-    def add(b: Column, x: Column) -> Column:
-        """Add a sentence; texts are trimmed, so they join by a space and end in their last character."""
-        longer = F.when(b["cur"] == "", x["s"]).otherwise(F.concat(b["cur"], F.lit(" "), x["s"]))
-
-        def decide(c: Column) -> Column:
-            over = (b["cur"] != "") & (F.length(c) > HARD_CHARS)
-            full = (F.length(c) >= SOFT_CHARS) & F.right(c, F.lit(1)).isin(".", "!", "?")
-            return F.struct(
-                F.when(over, F.concat(b["done"], F.array(b["cur"]))).when(full, F.concat(b["done"], F.array(c))).otherwise(b["done"]).alias("done"),
-                F.when(over, x["s"]).when(full, F.lit("")).otherwise(c).alias("cur"),
-            )
-
-        return _let(longer, decide)
-
-    def step(a: Column, x: Column) -> Column:
-        closes = x["fresh"] & (F.length(a["cur"]) >= MIN_CHARS)
-        closed = F.when(closes, F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), F.lit("").alias("cur"))).otherwise(a)
-        return _let(closed, lambda b: add(b, x)).cast("struct<done:array<string>,cur:string>")
-
-    def finish(a: Column) -> Column:
-        every = F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
-        last = F.try_element_at(every, F.lit(-1))
-        short = (F.size(every) >= 2) & (F.length(last) < MIN_CHARS)
-        merged = F.concat(F.slice(every, 1, F.greatest(F.size(every) - 2, F.lit(0))), F.array(X.join_text(F.try_element_at(every, F.lit(-2)), last)))
-        return F.when(short, merged).otherwise(every)
-
-    return F.aggregate(marked, start, step, finish)
+    rest = [c for c in chunks.columns if c != texts]
+    marked = chunks.select(*rest, sentence.alias("__sentences"))
+    before = f"if(x.opens and a.len >= {MIN_CHARS}, 0, a.len)"
+    longer = f"if({before} = 0, x.n, {before} + 1 + x.n)"
+    over = f"{before} > 0 and {longer} > {HARD_CHARS}"
+    state = {"len": ("int", "0", f"if({over}, x.n, if({longer} >= {SOFT_CHARS} and x.stop, 0, {longer}))")}
+    cutting = marked.withColumn("__starts", group_starts("__sentences", state, f"{before} = 0 or ({over})"))
+    joined = cutting.select(*rest, F.transform(cut(F.col("__sentences.s"), F.col("__starts")), lambda g: F.array_join(g, " ")).alias("__p"))
+    every, last = F.col("__p"), F.try_element_at("__p", F.lit(-1))
+    short = (F.size(every) >= 2) & (F.length(last) < MIN_CHARS)
+    merged = F.concat(F.slice(every, 1, F.greatest(F.size(every) - 2, F.lit(0))), F.array(X.join_text(F.try_element_at(every, F.lit(-2)), last)))
+    return joined.select(*rest, F.when(short, merged).otherwise(every).alias("paragraphs"))
 
 
 def assign_turn_ids(ids: Column) -> Column:
     """Ids of an ordered array of turns: the first use of an id stays, others get the least unused number.
 
-    Only ids already passed are avoided, as on reading a file in order.
+    Only ids already passed are avoided, as on reading a file in order.  Time is in proportion to the turns.
     """
-    state = "struct<seen:array<string>,next:int>"
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(1).alias("next")).cast(state)
-
-    def step(a: Column, raw: Column) -> Column:
-        own = F.trim(F.coalesce(raw, F.lit("")))
-        keeps = (own != "") & ~F.array_contains(a["seen"], own)
-        name = lambda n: F.format_string("turn_%06d", n)
-        free = F.get(F.filter(F.sequence(a["next"], a["next"] + F.size(a["seen"])), lambda n: ~F.array_contains(a["seen"], name(n))), F.lit(0))
-        return F.struct(F.concat(a["seen"], F.array(F.when(keeps, own).otherwise(name(free)))).alias("seen"), F.when(keeps, a["next"]).otherwise(free).alias("next")).cast(state)
 
-    return F.aggregate(ids, start, step, lambda a: a["seen"])
+    @F.pandas_udf("array<string>")
+    def named(column: pd.Series) -> pd.Series:
+        def one(given) -> list[str]:
+            seen: set[str] = set()
+            out, n = [], 1
+            for raw in given:
+                own = (raw or "").strip(" ")
+                if not own or own in seen:
+                    while (own := f"turn_{n:06d}") in seen:
+                        n += 1
+                seen.add(own)
+                out.append(own)
+            return out
+
+        return column.map(lambda given: None if given is None else one(given))
+
+    return named(ids)

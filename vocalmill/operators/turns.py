@@ -14,11 +14,13 @@ MIXED_NOTE = "segmento ASR contem mais de um falante e nao tinha palavras sufici
 
 
 def attribute(segments: DataFrame, words: DataFrame, spans: DataFrame, key: str = "interview_id") -> DataFrame:
-    """Segments with speakers from the spans, split where the words change speaker.
+    """Segments (unique by key and idx) with speakers from the spans, split where the words change speaker.
 
     ``words`` has key, idx (of the segment), widx, start_ms, end_ms, word.  Result: key, idx, sub (from 0), start_ms,
-    end_ms, speaker, text, words, split, needs_review, note.
+    end_ms, speaker, text, words, split, needs_review, note; a segment's own review mark and note stay, where it has them.
     """
+    review = F.coalesce("needs_review", F.lit(False)) if "needs_review" in segments.columns else F.lit(False)
+    own_note = F.coalesce("note", F.lit("")) if "note" in segments.columns else F.lit("")
     usable = words.where("end_ms > start_ms").where(F.trim("word") != "")
     own = segments.select(key, "idx", F.coalesce("speaker", F.lit("SPEAKER_UNKNOWN")).alias("__own"))
     heard = best_overlap(usable, spans, ["idx", "widx", "word", "start_ms", "end_ms"], key, outer=True)
@@ -29,14 +31,16 @@ def attribute(segments: DataFrame, words: DataFrame, spans: DataFrame, key: str
     pieces = islands.groupBy(key, "idx", "island").agg(
         F.min_by("start_ms", "widx").alias("start_ms"), F.max_by("end_ms", "widx").alias("end_ms"), F.min("speaker").alias("speaker"), F.array_sort(F.collect_list(F.struct("widx", "word"))).alias("w")
     )
-    several = Window.partitionBy(key, "idx")
-    pieces = pieces.withColumn("n", F.max("island").over(several)).where("n > 1")
-    split = pieces.select(key, "idx", (F.col("island") - 1).alias("sub"), "start_ms", "end_ms", "speaker", X.join_words(F.col("w.word")).alias("text"), F.size("w").alias("words"), F.lit(True).alias("split"), F.lit(False).alias("needs_review"), F.lit("").alias("note"))
-    whole = segments.join(pieces.select(key, "idx").distinct(), [key, "idx"], "left_anti")
-    whole = whole.join(best_overlap(whole.select(key, "idx", "start_ms", "end_ms"), spans, ["idx"], key), [key, "idx"], "left")
+    # one row a segment, with its pieces in order; the same partitioning as the windows above
+    pieces = pieces.groupBy(key, "idx").agg(F.array_sort(F.collect_list(F.struct("island", "start_ms", "end_ms", "speaker", "w"))).alias("__pieces"))
+    found = best_overlap(segments.select(key, "idx", "start_ms", "end_ms"), spans, ["idx"], key)
+    joined = segments.join(pieces, [key, "idx"], "left").join(found.select(key, "idx", "best_speaker", "n_speakers"), [key, "idx"], "left")
     mixed = F.coalesce(F.col("n_speakers") > 1, F.lit(False))
-    kept = whole.select(key, "idx", F.lit(0).cast("bigint").alias("sub"), "start_ms", "end_ms", F.coalesce("best_speaker", "speaker").alias("speaker"), "text", F.lit(0).alias("words"), F.lit(False).alias("split"), mixed.alias("needs_review"), F.when(mixed, F.lit(MIXED_NOTE)).otherwise(F.lit("")).alias("note"))
-    return split.where("text != ''").unionByName(kept)
+    shape = "struct<sub:bigint,start_ms:bigint,end_ms:bigint,speaker:string,text:string,words:int,split:boolean,needs_review:boolean,note:string>"
+    split = F.transform("__pieces", lambda p, i: F.struct(i.alias("sub"), p["start_ms"], p["end_ms"], p["speaker"], X.join_words(p["w"]["word"]).alias("text"), F.size(p["w"]).alias("words"), F.lit(True).alias("split"), review.alias("needs_review"), own_note.alias("note")).cast(shape))
+    whole = F.struct(F.lit(0).alias("sub"), "start_ms", "end_ms", F.coalesce("best_speaker", "speaker").alias("speaker"), "text", F.lit(0).alias("words"), F.lit(False).alias("split"), (mixed | review).alias("needs_review"), F.when(mixed, F.lit(MIXED_NOTE)).otherwise(own_note).alias("note")).cast(shape)
+    each = joined.select(key, "idx", F.explode(F.when(F.size("__pieces") > 1, split).otherwise(F.array(whole))).alias("r")).select(key, "idx", "r.*")
+    return each.where("NOT split OR text != ''")
 
 
 def speaker_ranks(segments: DataFrame, key: str = "interview_id") -> DataFrame:
@@ -76,4 +80,4 @@ def blocks(turns: DataFrame, key: str = "interview_id") -> DataFrame:
         F.min_by("__label", "turn").alias("label"),
         F.array_sort(F.collect_list(F.struct("turn", "__body"))).alias("b"),
     )
-    return grouped.select(key, "block", "start_ms", "end_ms", "speaker", "label", paragraphs(F.col("b.__body")).alias("paragraphs"))
+    return paragraphs(grouped.select(key, "block", "start_ms", "end_ms", "speaker", "label", F.col("b.__body").alias("__bodies")), "__bodies")

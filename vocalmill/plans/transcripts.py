@@ -86,7 +86,7 @@ def best_overlap_events(spark, d):
 
 
 def attributed_segments(spark, d):
-    a = turns.attribute(B.segments(spark, d), B.words(spark, d), B.spans(spark, d), KEY)
+    a = turns.attribute(B.segments(spark, d).drop("needs_review"), B.words(spark, d), B.spans(spark, d), KEY)
     return a.select(KEY, "idx", *_long("sub"), "start_ms", "end_ms", "speaker", X.collapse(F.col("text")).alias("text"), *_long("words"), "split", "needs_review")
 
 
@@ -112,8 +112,8 @@ def readable_blocks(spark, d):
 
 
 def paragraph_fold(spark, d):
-    docs = B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", folds.paragraphs(F.array("text")).alias("p"))
-    return docs.select("doc_id", F.posexplode("p").alias("nth", "paragraph")).select("doc_id", *_long("nth"), "paragraph")
+    docs = folds.paragraphs(B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array("text").alias("texts")))
+    return docs.select("doc_id", F.posexplode("paragraphs").alias("nth", "paragraph")).select("doc_id", *_long("nth"), "paragraph")
 
 
 def srt_cues(spark, d):
