@@ -2,12 +2,14 @@
 
 Edits depend on one another and change the number of rows, so each recording's log is folded in Python, one Arrow
 group of a recording's turns and edits at a time.  An edit that its rules refuse changes nothing and is reported.
+Each edit touches one turn and its neighbours, so time is in proportion to turns and edits.
 """
 
 from __future__ import annotations
 
 import re
-from copy import deepcopy
+from collections import Counter
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,18 +40,69 @@ def split_point(text: str, wanted: int | None) -> int:
     return min(spaces, key=lambda at: abs(at - middle), default=middle)
 
 
-def _next_id(turns: list[dict]) -> str:
-    """One more than the highest number in use."""
-    numbers = [int(m[1]) for t in turns if (m := _ID.match(t["turn_id"]))]
-    return f"turn_{max(numbers, default=0) + 1:06d}"
+class Turns:
+    """A recording's turns while they are edited: linked in order, found by id; the first of equal ids is meant."""
+
+    def __init__(self, turns: list[dict]):
+        self.by_id: dict[str, list[dict]] = {}
+        self.used: Counter[int] = Counter()
+        self.numbers: list[int] = []
+        self.first = before = None
+        for t in turns:
+            turn = {**t, "flags": list(t["flags"]), "before": before, "after": None}
+            if before is None:
+                self.first = turn
+            else:
+                before["after"] = turn
+            self._known(turn)
+            before = turn
+
+    def _known(self, turn: dict) -> None:
+        self.by_id.setdefault(turn["turn_id"], []).append(turn)
+        if m := _ID.match(turn["turn_id"]):
+            self.used[int(m[1])] += 1
+            heappush(self.numbers, -int(m[1]))
+
+    def find(self, turn_id: str) -> dict:
+        if not self.by_id.get(turn_id):
+            raise Refused(f"no turn {turn_id}")
+        return self.by_id[turn_id][0]
+
+    def next_id(self) -> str:
+        """One more than the highest number in use."""
+        while self.numbers and not self.used[-self.numbers[0]]:
+            heappop(self.numbers)
+        return f"turn_{(-self.numbers[0] if self.numbers else 0) + 1:06d}"
+
+    def insert_after(self, turn: dict, new: dict) -> None:
+        new["before"], new["after"] = turn, turn["after"]
+        if turn["after"]:
+            turn["after"]["before"] = new
+        turn["after"] = new
+        self._known(new)
+
+    def remove_after(self, turn: dict) -> dict:
+        gone = turn["after"]
+        turn["after"] = gone["after"]
+        if gone["after"]:
+            gone["after"]["before"] = turn
+        same = self.by_id[gone["turn_id"]]
+        same[:] = [t for t in same if t is not gone]
+        if m := _ID.match(gone["turn_id"]):
+            self.used[int(m[1])] -= 1
+        return gone
+
+    def listed(self) -> list[dict]:
+        out, turn = [], self.first
+        while turn:
+            out.append({k: v for k, v in turn.items() if k not in ("before", "after")})
+            turn = turn["after"]
+        return out
 
 
-def apply_edit(turns: list[dict], action: str, turn_id: str, payload: dict[str, str]) -> None:
-    """Apply one edit in place."""
-    at = next((i for i, t in enumerate(turns) if t["turn_id"] == turn_id), None)
-    if at is None:
-        raise Refused(f"no turn {turn_id}")
-    turn = turns[at]
+def apply_edit(turns: Turns, action: str, turn_id: str, payload: dict[str, str]) -> None:
+    """Apply one edit in place; an edit that is refused changes nothing."""
+    turn = turns.find(turn_id)
     if action == "set_text":
         turn["text"] = payload.get("text", "").strip()
     elif action == "set_speaker":
@@ -64,9 +117,9 @@ def apply_edit(turns: list[dict], action: str, turn_id: str, payload: dict[str,
     elif action == "set_flags":
         turn["flags"] = sorted({f.strip() for f in payload.get("flags", "").split("|") if f.strip()})
     elif action == "merge_next":
-        if at + 1 >= len(turns) or _key(turn) != _key(turns[at + 1]):
+        if not turn["after"] or _key(turn) != _key(turn["after"]):
             raise Refused("nothing to merge with")
-        other = turns.pop(at + 1)
+        other = turns.remove_after(turn)
         turn["start_ms"], turn["end_ms"] = min(turn["start_ms"], other["start_ms"]), max(turn["end_ms"], other["end_ms"])
         for name in ("text", "notes"):
             turn[name] = " ".join((turn[name].strip(), other[name].strip())).strip()
@@ -81,45 +134,63 @@ def apply_edit(turns: list[dict], action: str, turn_id: str, payload: dict[str,
         time = int(payload["at_ms"]) if payload.get("at_ms") else start
         if not start < time < end:
             time = round(start + (end - start) * char / len(text))
-        new = deepcopy(turn) | {"turn_id": _next_id(turns), "start_ms": time, "text": right, "edited": True}
+        new = {**turn, "flags": list(turn["flags"]), "turn_id": turns.next_id(), "start_ms": time, "text": right, "edited": True}
         turn["end_ms"], turn["text"] = time, left
-        turns.insert(at + 1, new)
+        turns.insert_after(turn, new)
     elif action == "move_boundary":
-        _move_boundary(turns, at, payload["edge"], int(payload["at_ms"]))
+        _move_boundary(turn, payload["edge"], int(payload["at_ms"]))
     else:
         raise Refused(f"unknown action {action}")
     turn["edited"] = True
 
 
-def _move_boundary(turns: list[dict], at: int, edge: str, time: int) -> None:
+def _move_boundary(turn: dict, edge: str, time: int) -> None:
     """Move a turn's edge; the neighbour's facing edge follows if that leaves it longer than nothing."""
-    turn = turns[at]
+    before, after = turn["before"], turn["after"]
     if edge == "start":
         if not 0 <= time < turn["end_ms"]:
             raise Refused("bad boundary")
         turn["start_ms"] = time
-        if at and turns[at - 1]["start_ms"] < time:
-            turns[at - 1]["end_ms"] = time
-            turns[at - 1]["edited"] = True
+        if before and before["start_ms"] < time:
+            before["end_ms"], before["edited"] = time, True
     else:
         if time <= turn["start_ms"]:
             raise Refused("bad boundary")
         turn["end_ms"] = time
-        if at + 1 < len(turns) and time < turns[at + 1]["end_ms"]:
-            turns[at + 1]["start_ms"] = time
-            turns[at + 1]["edited"] = True
+        if after and time < after["end_ms"]:
+            after["start_ms"], after["edited"] = time, True
+
+
+def in_effect(edits: list[tuple[str, str, dict[str, str]]]) -> list[tuple[str, str, dict[str, str]]]:
+    """The edits that stand after the log's ``undo`` and ``redo`` entries.
+
+    Each undo takes back the last edit that stands, each redo puts back the last one taken back; a new edit forgets
+    what could be put back.  Without anything to take or put back they do nothing.
+    """
+    standing: list = []
+    taken: list = []
+    for edit in edits:
+        if edit[0] == "undo":
+            if standing:
+                taken.append(standing.pop())
+        elif edit[0] == "redo":
+            if taken:
+                standing.append(taken.pop())
+        else:
+            standing.append(edit)
+            taken.clear()
+    return standing
 
 
 def replay_list(turns: list[dict], edits: list[tuple[str, str, dict[str, str]]], upto: int | None = None) -> tuple[list[dict], int]:
-    """The turns after the edits (the first ``upto`` of them: E9, undo is replay up to one less), and how many were refused."""
-    turns, refused = deepcopy(turns), 0
-    for action, turn_id, payload in edits if upto is None else edits[:upto]:
-        before = deepcopy(turns)
+    """The turns after the edits (the first ``upto`` entries of the log: E9, a version), and how many were refused."""
+    held, refused = Turns(turns), 0
+    for action, turn_id, payload in in_effect(edits if upto is None else edits[:upto]):
         try:
-            apply_edit(turns, action, turn_id, payload)
-        except (Refused, KeyError, ValueError):
-            turns, refused = before, refused + 1
-    return turns, refused
+            apply_edit(held, action, turn_id, payload)
+        except (KeyError, ValueError):  # Refused is a ValueError
+            refused += 1
+    return held.listed(), refused
 
 
 def normalize(turns: DataFrame, key: str = "interview_id", id_col: str = "turn_id") -> DataFrame:
@@ -138,15 +209,16 @@ def normalize(turns: DataFrame, key: str = "interview_id", id_col: str = "turn_i
         F.coalesce(F.col("flags") if "flags" in have else F.lit(None), F.array().cast("array<string>")).alias("flags"),
         F.coalesce(F.col("notes") if "notes" in have else F.lit(None).cast("string"), F.lit("")).alias("notes"),
     )
+    ship(turns.sparkSession)
     rows = turns.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("r"))
     named = rows.select(key, F.posexplode(F.arrays_zip("r", folds.assign_turn_ids(F.col("r.given")).alias("id"))).alias("pos", "x"))
     return named.select(key, "pos", F.col("x.id").alias("turn_id"), *(F.col(f"x.r.{c}").alias(c) for c in ("start_ms", "end_ms", "speaker", "human_label", "text", "flags", "notes")), F.lit(False).alias("edited"))
 
 
 def replay(turns: DataFrame, edits: DataFrame, upto: int | None = None) -> DataFrame:
-    """Normalised turns after their recording's edits in order of ``seq``.
+    """Normalised turns after their recording's edits in order of ``seq``; ``upto`` gives the version after so many entries.
 
-    ``edits`` has interview_id, seq, action, turn_id, payload map<string,string>.  Recordings without edits pass in
+    ``edits`` (entries ``undo`` and ``redo`` among them) has interview_id, seq, action, turn_id, payload map<string,string>.  Recordings without edits pass in
     the same way; edits of unknown recordings are left out.
     """
 
@@ -172,5 +244,3 @@ def edit_log(edits: DataFrame) -> DataFrame:
 def next_turn_number(ids: Column) -> Column:
     """A12 as an aggregate: one more than the highest number of ids ``turn_<n>``."""
     return F.coalesce(F.max(F.nullif(F.regexp_extract(ids, r"^turn_(\d+)$", 1), F.lit("")).try_cast("bigint")), F.lit(0)) + 1
-
-
