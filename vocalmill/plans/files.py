@@ -75,7 +75,7 @@ def canonical_json(spark, d):
 
 
 def raw_tsv_files(spark, d):
-    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn AS idx", "turn * 1000 AS start_ms", "turn * 1000 + 500 AS end_ms", "left(text, 30) AS text")
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn AS idx", "turn * 1000 AS start_ms", "turn * 1000 + 500 AS end_ms", "text")
     return writers.raw_files(rows, "conv_id")["tsv"]
 
 
@@ -100,5 +100,5 @@ ORACLE = {
     "model_resolve": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'm' || (s_suppkey % 40) WHEN 1 THEN '/models/x' ELSE 'remote/y' END AS model,
       CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 40 IN (SELECT n_nationkey FROM nation) THEN 'own/' || (s_suppkey % 40) END WHEN 1 THEN '/models/x' END AS repo FROM supplier""",
     "speaker_arguments": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 END AS num_speakers, CASE WHEN s_suppkey % 3 != 0 THEN 1 END AS min_speakers, CASE WHEN s_suppkey % 3 != 0 AND s_suppkey % 2 = 0 THEN 4 END AS max_speakers FROM supplier",
-    "raw_tsv_files": r"""SELECT conv_id, rtrim('start' || chr(9) || 'end' || chr(9) || 'text' || chr(10) || string_agg(turn * 1000 || chr(9) || (turn * 1000 + 500) || chr(9) || trim(regexp_replace(left(text, 30), '[\t\r\n]', ' ', 'g')), chr(10) ORDER BY turn)) || chr(10) AS content FROM conversations GROUP BY conv_id""",
+    "raw_tsv_files": r"""SELECT conv_id, rtrim('start' || chr(9) || 'end' || chr(9) || 'text' || chr(10) || string_agg(turn * 1000 || chr(9) || (turn * 1000 + 500) || chr(9) || trim(regexp_replace(text, '[\t\r\n]', ' ', 'g')), chr(10) ORDER BY turn)) || chr(10) AS content FROM conversations GROUP BY conv_id""",
 }

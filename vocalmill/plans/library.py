@@ -264,11 +264,11 @@ def redact_secrets(spark, d):
 
 def text_cleaning(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(X.collapse(t)).alias("collapsed"), F.size(X.sentences(X.collapse(t))).cast("bigint").alias("n_sentences"), X.preview(t).alias("preview"), X.cue_safe(F.concat(F.lit("a --> "), F.left(t, F.lit(60)))).alias("cue"), X.tail(t, 20).alias("tail"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(X.collapse(t)).alias("collapsed"), F.size(X.sentences(X.collapse(t))).cast("bigint").alias("n_sentences"), X.preview(t).alias("preview"), X.cue_safe(F.concat(F.lit("a --> "), t)).alias("cue"), X.tail(t, 20).alias("tail"))
 
 
 def safe_names(spark, d):
-    t = F.left("text", F.lit(30))
+    t = F.col("text")
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.safe_name(t).alias("safe"), X.is_safe_id(F.col("source")).alias("is_safe"), X.title(t, 10)["title"].alias("title"))
 
 
@@ -375,9 +375,9 @@ ORACLE = {
     "redact_secrets": "SELECT doc_id, md5(regexp_replace('t=hf_' || regexp_replace(left(text, 40), '[^A-Za-z0-9]', '', 'g') || ' ' || text, 'hf_[A-Za-z0-9]{8,}', 'hf_***', 'g')) AS h FROM documents",
     "text_cleaning": r"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, md5(t) AS collapsed, CAST(greatest(1, len(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x != ''))) AS bigint) AS n_sentences, CASE WHEN len(t) <= 120 THEN t ELSE rtrim(left(t, 117)) || '...' END AS preview,
-        trim(regexp_replace(replace('a --> ' || left(text, 60), '-->', '->'), '[\r\n]+', ' ', 'g')) AS cue, right(text, 20) AS tail FROM c""",
-    "safe_names": r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(left(text, 30), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'item') AS safe, regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9_.-]*') AND NOT contains(source, '..') AS is_safe,
-      rtrim(left(trim(regexp_replace(left(text, 30), '[\x00-\x1f]', '', 'g')), 10)) AS title FROM documents WHERE text IS NOT NULL""",
+        trim(regexp_replace(replace('a --> ' || text, '-->', '->'), '[\r\n]+', ' ', 'g')) AS cue, right(text, 20) AS tail FROM c""",
+    "safe_names": r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'item') AS safe, regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9_.-]*') AND NOT contains(source, '..') AS is_safe,
+      rtrim(left(trim(regexp_replace(text, '[\x00-\x1f]', '', 'g')), 10)) AS title FROM documents WHERE text IS NOT NULL""",
     "times_as_text": f"""SELECT l_orderkey, l_linenumber, {_CLOCKED.format(f'CAST(round_even({_MS} / 1000.0::double, 0) AS bigint)')} AS clock, printf('%02d:%02d:%02d.%03d', {_MS} // 3600000, {_MS} // 60000 % 60, {_MS} // 1000 % 60, {_MS} % 1000) AS code,
       {_CLOCKED.format(f'({_MS} // 1000)')} AS cut, printf('%d.%03d', {_MS} // 1000, {_MS} % 1000) AS seconds, ({_MS} // 60000 * 60) + CAST(printf('%02d.%03d', {_MS} // 1000 % 60, {_MS} % 1000) AS double) AS back,
       CASE WHEN l_orderkey <= 0 THEN 'estimando...' WHEN l_orderkey < 60 THEN printf('cerca de %ds', l_orderkey) WHEN l_orderkey < 3600 THEN printf('cerca de %dmin %02ds', l_orderkey // 60, l_orderkey % 60) ELSE printf('cerca de %dh %02dmin', l_orderkey // 3600, l_orderkey // 60 % 60) END AS eta FROM lineitem""",

@@ -20,6 +20,9 @@ def _folder(spark: SparkSession, name: str) -> str:
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
         base = "file://" + tempfile.mkdtemp(prefix="vocalmill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -72,7 +75,7 @@ def review_replay(spark, d):
 
 def _asr_documents(spark, d):
     """Conversations as recogniser output, with malformed parts."""
-    seg = table(spark, d, "conversations").selectExpr("conv_id", "turn", "left(text, 80) AS text")
+    seg = table(spark, d, "conversations").selectExpr("conv_id", "turn", "text")
     good = F.to_json(F.struct((F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + F.when(F.col("turn") % 3 == 1, -1).otherwise(2)).alias("end"), "text", F.when(F.col("turn") % 4 == 0, F.lit("SPEAKER_01")).alias("speaker")))
     odd = F.element_at(F.array(*map(F.lit, ("null", "7", '"text"', '{"start": NaN, "end": 3, "text": "x"}', '{"start": "a", "end": 3, "text": "x"}', '{"start": 1, "end": 2, "text": "  "}'))), (F.col("turn") % 6 + 1).cast("int"))
     rows = seg.select("conv_id", F.struct("turn", F.array(good, odd).alias("j")).alias("r")).groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
@@ -101,7 +104,7 @@ ORACLE = {
     "stream_latest_state": "SELECT user_id AS file_id, event_id AS seq, event_type AS status, CAST(floor(value) AS bigint) % 120 AS progress FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1",
     "stream_held_progress": "SELECT user_id AS file_id, event_id AS seq, CAST(least(max(CAST(floor(value) AS bigint) % 120) OVER (PARTITION BY user_id ORDER BY event_id), 90) AS bigint) AS shown FROM events",
     "lenient_json": r"""SELECT conv_id, 2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS idx, CAST(turn * 2500 - CASE WHEN turn % 3 = 1 THEN 1000 ELSE 0 END AS bigint) AS start_ms, CAST(turn * 2500 + CASE WHEN turn % 3 = 1 THEN 0 ELSE 2000 END AS bigint) AS end_ms,
-      CASE WHEN turn % 4 = 0 THEN 'SPEAKER_01' END AS speaker, trim(regexp_replace(left(text, 80), '\s+', ' ', 'g')) AS text FROM conversations""",
+      CASE WHEN turn % 4 = 0 THEN 'SPEAKER_01' END AS speaker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations""",
     "probe_json": """SELECT s_suppkey, CASE WHEN ok THEN s_suppkey || '.500' ELSE '' END AS duration_sec, CASE WHEN ok THEN '2' ELSE '0' END AS source_audio_streams, CASE WHEN ok THEN 'aac' ELSE '' END AS source_audio_codec, CASE WHEN ok THEN '2' ELSE '' END AS source_audio_channels,
       CASE WHEN ok THEN CAST(s_suppkey AS varchar) ELSE '' END AS source_video_width, CASE WHEN ok AND s_suppkey % 2 = 0 THEN '25.000' ELSE '' END AS source_video_frame_rate, CASE WHEN ok THEN 'mov' ELSE '' END AS source_format_name, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS probe_status
       FROM (SELECT s_suppkey, s_suppkey % 10 != 0 AS ok FROM supplier)""",
