@@ -134,12 +134,12 @@ def progress_percent(text: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Bytes in the largest fitting unit."""
+    """Bytes in the largest fitting unit; ties are rounded to even."""
     size = size.cast("double")
     out = F.when(size < 1024, F.concat(size.cast("bigint").cast("string"), F.lit(" B")))
     for power, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(size < 1024 ** (power + 1), F.concat(F.format_string("%.1f", size / 1024**power), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_string("%.2f", size / 1024**3), F.lit(" GB")))
+        out = out.when(size < 1024 ** (power + 1), F.concat(F.format_string("%.1f", F.bround(size / 1024**power, 1)), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.format_string("%.2f", F.bround(size / 1024**3, 2)), F.lit(" GB")))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..schemas import MANIFEST_COLUMNS, PROBE_COLUMNS
 
 KIND_PREFERENCE = ("A", "AUDIO", "V")
 EXTENSION_PREFERENCE = (".wav", ".m4a", ".mp3", ".flac", ".mp4", ".mov")
@@ -150,3 +151,44 @@ def speaker_options(labels: DataFrame, turns: DataFrame) -> DataFrame:
     """Labels, then labels seen in turns; each once without regard to case, in order (label, prio, idx)."""
     every = labels.select("label", F.lit(0).alias("prio"), "idx").unionByName(turns.select("label", F.lit(1).alias("prio"), "idx")).where("trim(label) != ''")
     return first_by(every.withColumn("__folded", F.lower(F.trim("label"))), ["__folded"], "prio", "idx").drop("__folded")
+
+
+def build_manifest(listings: list[DataFrame], extensions: tuple[str, ...], forms: DataFrame | None = None, probes: DataFrame | None = None, hashes: DataFrame | None = None, root: str = "/", kinds: tuple[str, ...] = KIND_PREFERENCE, preferred: tuple[str, ...] = EXTENSION_PREFERENCE) -> DataFrame:
+    """The manifest's 30 text columns for the media of several listings (path, size, mtime): S1, J7, W9, S2, J5, S9, P30, P31.
+
+    ``forms`` are paths of consent forms, ``probes`` has path and the probe columns, ``hashes`` path and sha256, which
+    the selected file of a recording shows.  Paths are shown below ``root``.  Rows are unordered; O1 is ``manifest_order``.
+    """
+    media = select_preferred(discover(listings, extensions), kinds=kinds, extensions=preferred)
+    media = with_consent(media, consents(forms)) if forms is not None else media.withColumns({"has_tcle": F.lit(False), "tcle_path": F.lit("")})
+    if probes is not None:
+        media = media.join(probes.select("path", *PROBE_COLUMNS), "path", "left")
+    if hashes is not None:
+        media = media.join(hashes.select("path", F.col("sha256").alias("__sha")), "path", "left")
+    chosen = F.col("selected")
+    shown = lambda c: M.relative_path(c, root)
+    probed = {c: F.coalesce(c, F.lit("")) if probes is not None else F.lit("") for c in PROBE_COLUMNS}
+    values = {
+        "interview_id": F.col("interview_id"),
+        "person_folder": F.substring_index(F.substring_index("path", "/", -2), "/", 1),
+        "source_path": shown(F.col("path")),
+        "source_ext": F.col("source_ext"),
+        "source_kind": F.col("source_kind"),
+        "selected": chosen.cast("string"),
+        "duplicate_of": shown(F.col("duplicate_of")),
+        "source_size_bytes": F.col("size").cast("string"),
+        "source_mtime_utc": M.iso_utc(F.col("mtime")),
+        "source_sha256": F.when(chosen, F.coalesce("__sha", F.lit(""))).otherwise(F.lit("")) if hashes is not None else F.lit(""),
+        **probed,
+        "wav_path": F.when(chosen, F.concat(F.lit("wav/"), "interview_id", F.lit(".wav"))).otherwise(F.lit("")),
+        "has_tcle": F.col("has_tcle").cast("string"),
+        "tcle_path": shown(F.col("tcle_path")),
+        "status": F.col("status"),
+        "notes": F.lit(""),
+    }
+    return media.select(*(values[c].alias(c) for c in MANIFEST_COLUMNS), F.col("choice").alias("__choice"))
+
+
+def manifest_order(manifest: DataFrame) -> DataFrame:
+    """O1: the manifest's rows by recording, then by preference; sorted by ranges, so the result is ordered as a whole."""
+    return manifest.orderBy("interview_id", "__choice").drop("__choice")

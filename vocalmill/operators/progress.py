@@ -37,3 +37,9 @@ def monotone(events: DataFrame, keys: list[str], order: str, progress: str = "pr
     """Progress that never falls: the running maximum, capped."""
     running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("shown", F.least(F.coalesce(F.max(progress).over(running), F.lit(0)), F.lit(cap)))
+
+
+def download_percent(size: Column, baseline: Column, estimated: Column, start: int = 0, end: int = 100) -> Column:
+    """ST5: the overall percentage of a download from the size of its folder; 0 of the inner range if no size is expected."""
+    inner = F.when(estimated > 0, F.least(F.lit(100), F.floor((size - baseline) * 100 / estimated))).otherwise(F.lit(0))
+    return (F.lit(start) + F.floor((end - start) * inner / 100)).cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.timecode import seconds_text
+from ..schemas import QC_COLUMNS
 
 
 def _end(column: str = "end_ms") -> Column:
@@ -102,3 +103,30 @@ def text_view(rows: DataFrame, key: str = "interview_id") -> DataFrame:
         empty(F.when(F.col("coverage_ratio").isNotNull(), F.format_string("%.4f", F.bround("coverage_ratio", 4)))).alias("coverage_ratio"),
         "notes",
     )
+
+
+def report(rows: DataFrame, manifest: DataFrame, flags: DataFrame, raw: DataFrame, key: str = "interview_id") -> DataFrame:
+    """Metrics, presence of files and raw metrics as the text columns of the check's CSV, in their order.
+
+    ``manifest`` has the key and ``__duration``, the duration as text; ``flags`` booleans, none for unknown recordings.
+    """
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    mean = lambda c: empty(F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.bround(c, 3)))).alias(c)
+    there = [c for c in flags.columns if c != key]
+    shown = text_view(rows, key).drop("canonical_exists").join(rows.select(key, F.col("canonical_exists").alias("__there")), key)
+    said = flags.select(key, *(c for c in there if c != "canonical_exists"))
+    joined = shown.join(manifest, key).join(said, key, "left").join(raw, key, "left")
+    has = F.col("__there")
+    counts = ("raw_segment_count", "raw_segments_without_speaker", "raw_word_count")
+    values = {
+        **{c: F.col(c) for c in shown.columns},
+        "canonical_exists": has.cast("string"),
+        **{c: F.coalesce(c, F.lit(False)).cast("string") for c in ("raw_json_exists", "wav_exists")},
+        **{c: (has & F.coalesce(c, F.lit(False))).cast("string") for c in ("diarization_regular_exists", "diarization_exclusive_exists")},
+        "source_duration_sec": F.when(has, F.col("source_duration_sec")).otherwise(empty(F.col("__duration"))),
+        "last_timestamp_sec": F.when(has, F.col("last_timestamp_sec")).otherwise(F.lit("0")),
+        **{c: F.when(has, empty(F.col(c).cast("string"))).otherwise(F.lit("")) for c in counts},
+        **{c: F.when(has, mean(c)).otherwise(F.lit("")) for c in ("raw_word_score_mean", "raw_avg_logprob_mean")},
+        "notes": F.when(has, F.col("notes")).otherwise(F.lit("missing canonical JSON")),
+    }
+    return joined.select(F.col(key).cast("string").alias("interview_id"), *(values[c].alias(c) for c in QC_COLUMNS[1:]))

@@ -67,3 +67,33 @@ def advance(entries: DataFrame, actions: DataFrame, key: str = "trash_id") -> Da
     for (state, action), then in TRANSITIONS.items():
         after = F.when((F.col("status") == state) & (F.col("action") == action), F.lit(then)).otherwise(after)
     return joined.withColumn("status", after).drop("action")
+
+
+def move(tables: dict[str, DataFrame], ids: DataFrame, files: DataFrame, trash_id: str, folder: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+    """J8, J9, T5 together: the tables without the recordings in ``ids``, their saved rows, and the files to move.
+
+    Recordings with work under way stay (T4).  The files (path, size) get their place in the trash folder.
+    """
+    from .jobs import busy
+
+    free = ids.join(busy(tables["jobs"]), ids["id"] == F.col("file_id"), "left_anti")
+    moved = unique_files(outputs_of(files, free).withColumn("idx", F.lit(0)))
+    moved = moved.select(F.lit(trash_id).alias("trash_id"), F.col("path").alias("original_path"), F.concat(F.lit(f"{folder.rstrip('/')}/{trash_id}/files"), "path").alias("trashed_path"), "size")
+    return remove(tables, free), snapshot(tables, free), moved
+
+
+def bring_back(current: dict[str, DataFrame], saved: dict[str, DataFrame], moved: DataFrame, listing: DataFrame, overwrite: bool = False) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """J10, J15 together: the tables with the saved rows again, the files to copy back, and those whose place is taken.
+
+    With ``overwrite`` files whose place is taken are copied back too.
+    """
+    taken = collisions(moved, listing)
+    back = moved if overwrite else moved.join(taken.select("original_path"), "original_path", "left_anti")
+    return restore(current, saved), back, taken
+
+
+def purge(entries: DataFrame, moved: DataFrame, trash_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries after purging those in ``trash_ids`` that are in the trash, and the trashed files to delete."""
+    after = advance(entries, trash_ids.select("trash_id", F.lit("purge").alias("action")))
+    gone = after.where("status = 'purged'").join(entries.where("status = 'trashed'").select("trash_id"), "trash_id", "left_semi")
+    return after, moved.join(gone.select("trash_id"), "trash_id", "left_semi")

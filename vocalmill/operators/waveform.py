@@ -7,8 +7,9 @@ import struct
 import wave
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -43,21 +44,30 @@ def level(values: Column, duration: Column, start: Column, end: Column) -> Colum
     return F.when((n < 1) | (duration <= 0), F.lit(0.0)).otherwise(inside)
 
 
-def read_samples(data: bytes) -> tuple[int, list[int]]:
-    """Frame rate and the first channel's samples of a WAV file; 8-bit samples are centred, bad files have none."""
+def sample_chunks(data: bytes, frames: int = 65_536) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(frame rate, place of the first, samples) of the first channel of a WAV file, so many frames at a time.
+
+    8-bit samples are centred; files of another width, or that can't be read, have none.
+    """
     try:
         with wave.open(io.BytesIO(data), "rb") as file:
             width, channels, rate = file.getsampwidth(), max(1, file.getnchannels()), file.getframerate()
-            raw = file.readframes(file.getnframes())
+            at = 0
+            while width in (1, 2, 4) and (raw := file.readframes(frames)):
+                raw = raw[: len(raw) // (width * channels) * width * channels]
+                values = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width])[::channels].astype(np.int64)
+                yield rate, at, values - 128 if width == 1 else values
+                at += len(values)
     except (wave.Error, EOFError, struct.error):
-        return 0, []
-    if width == 1:
-        return rate, [b - 128 for b in raw[::channels]]
-    if width not in (2, 4):
-        return rate, []
-    code = {2: "h", 4: "i"}[width]
-    n = len(raw) // width
-    return rate, list(struct.unpack(f"<{n}{code}", raw[: n * width])[::channels])
+        return
+
+
+def read_samples(data: bytes) -> tuple[int, list[int]]:
+    """Frame rate and all samples of the first channel, for short files."""
+    rate, out = 0, []
+    for rate, _, values in sample_chunks(data):  # noqa: B007
+        out += values.tolist()
+    return rate, out
 
 
 def decode_wav(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -66,10 +76,24 @@ def decode_wav(files: DataFrame, path_col: str = "path", content_col: str = "con
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, data in zip(frame["p"], frame["c"], strict=True):
-                rate, values = read_samples(bytes(data))
-                for start in range(0, len(values), 65536):
-                    part = values[start : start + 65536]
-                    yield pd.DataFrame({"file_id": path, "idx": range(start, start + len(part)), "value": part, "rate": rate})
+                for rate, start, values in sample_chunks(bytes(data)):
+                    yield pd.DataFrame({"file_id": path, "idx": np.arange(start, start + len(values)), "value": values, "rate": rate})
 
     ship(files.sparkSession)
     return files.select(F.col(path_col).alias("p"), F.col(content_col).alias("c")).mapInPandas(run, "file_id string, idx bigint, value bigint, rate int")
+
+
+def wav_peaks(files: DataFrame, chunk: int, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(file_id, peak_idx, peak, rate) of WAV files; only a row for each peak leaves the task that reads a file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, data in zip(frame["p"], frame["c"], strict=True):
+                for rate, start, values in sample_chunks(bytes(data), max(1, 65_536 // chunk) * chunk):
+                    tops = np.maximum.reduceat(np.abs(values), np.arange(0, len(values), chunk))
+                    yield pd.DataFrame({"file_id": path, "peak_idx": start // chunk + np.arange(len(tops)), "top": tops, "rate": rate})
+
+    ship(files.sparkSession)
+    each = files.select(F.col(path_col).alias("p"), F.col(content_col).alias("c")).mapInPandas(run, "file_id string, peak_idx bigint, top bigint, rate int")
+    whole = F.greatest(F.max("top").over(Window.partitionBy("file_id")), F.lit(1))
+    return each.select("file_id", "peak_idx", (F.col("top") / whole).alias("peak"), "rate")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,11 +131,39 @@ def write_csv(df: DataFrame, path: str, columns: list[str], sep: str = ",", sort
     out.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="")
 
 
+#: Rows of a table that may be written as one file.
+ONE_FILE_ROWS = 1_000_000
+
+
+def write_csv_file(df: DataFrame, path: str, columns: list[str], sort_by: list[str], bom: bool = True) -> None:
+    """K1, O1, O2: a library table as one sorted CSV file with one header, in the folder ``path``.
+
+    For tables with a row a recording, as other programs want them; a table beyond ``ONE_FILE_ROWS`` is an error, as one
+    task writes the file.
+    """
+    if df.limit(ONE_FILE_ROWS + 1).count() > ONE_FILE_ROWS:
+        raise ValueError(f"more than {ONE_FILE_ROWS} rows: use write_csv")
+    out = df.select(*columns, *(c for c in sort_by if c not in columns)).coalesce(1).sortWithinPartitions(*sort_by).select(*columns)
+    if bom:
+        out = out.withColumnRenamed(columns[0], BOM + columns[0])
+    out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
 def write_json_pretty(df: DataFrame, path: str) -> None:
     """K2: one indented JSON document for each row, characters as they are."""
     df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def variant_folder(folder: str, variants: str, variant: str | None) -> str:
+    """Where a recogniser variant's documents go: a folder of its own below ``variants``, or the usual one without a name."""
+    if not variant:
+        return folder
+    safe = re.sub(r"[^A-Za-z0-9_.-]+", "_", variant).strip("._")
+    if not safe:
+        raise ValueError("no character of the variant's name can be part of a path")
+    return f"{variants.rstrip('/')}/{safe}"
+
+
 def append_log(events: DataFrame, path: str) -> None:
     """K3: events appended as JSON lines with sorted keys."""
     events.select(*sorted(events.columns)).write.mode("append").json(path)

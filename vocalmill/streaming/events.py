@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import LOG
@@ -31,7 +31,10 @@ def latest_state(events: DataFrame, key: str = "file_id", at: str = "updated_at"
 
 
 def held_progress(events: DataFrame, key: str = "file_id", order: str = "seq", progress: str = "progress", cap: int = 100) -> DataFrame:
-    """ST3: progress that never falls, per file, across batches: (key, seq, progress, shown)."""
+    """ST3, ST5: progress that never falls, per file, across batches: (key, seq, progress, shown).
+
+    Rows are in order of ``order`` within a batch; what a later batch brings counts as newer, whatever its ``order``.
+    """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         top = state.get[0] if state.exists else 0
@@ -102,6 +105,51 @@ def run_available(out: DataFrame, checkpoint: str, mode: str = "append", sink: C
     return (writer.foreachBatch(sink) if sink else writer.format("memory").queryName(table)).start()
 
 
+class ProgressHook(StreamingQueryListener):
+    """Calls ``progress`` with what each batch of any query did, and stops the query once ``should_cancel`` says so."""
+
+    def __init__(self, spark: SparkSession, progress: Callable[[dict], None] | None = None, should_cancel: Callable[[], bool] | None = None):
+        self.spark, self.progress, self.should_cancel = spark, progress, should_cancel
+
+    def onQueryStarted(self, event) -> None:
+        self._say({"event": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event) -> None:
+        done = event.progress
+        self._say({"event": "progress", "id": str(done.id), "batch": done.batchId, "rows": done.numInputRows})
+        if self.should_cancel is not None and self.should_cancel():
+            query = self.spark.streams.get(str(done.id))
+            if query is not None:
+                query.stop()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._say({"event": "ended", "id": str(event.id), "error": event.exception})
+
+    def _say(self, what: dict) -> None:
+        if self.progress is not None:
+            self.progress(what)
+
+
+def run_items(items: list[str], work: Callable[[str], None], progress: Callable[[dict], None] | None = None, should_cancel: Callable[[], bool] | None = None) -> dict[str, str]:
+    """X2, ST4 for jobs of several recordings: the outcome of each item; what follows a cancellation is not begun, a failure stops nothing."""
+    out: dict[str, str] = {}
+    for k, item in enumerate(items):
+        if should_cancel is not None and should_cancel():
+            out |= dict.fromkeys(items[k:], "cancelled")
+            break
+        try:
+            work(item)
+            out[item] = "ok"
+        except Exception as error:  # the outcome of the item is its error
+            out[item] = f"failed: {error}"
+        if progress is not None:
+            progress({"item": item, "status": out[item], "progress": (k + 1) * 100 // len(items)})
+    return out
+
+
 def stop(query: StreamingQuery) -> None:
     """ST4: cancel a running query."""
     if query.isActive:
