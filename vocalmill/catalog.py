@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import chain, files, library, streams, transcripts
+from .plans import chain, files, library, reviews, streams, transcripts
 
-QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES, **files.QUERIES, **chain.QUERIES}
-ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE, **files.ORACLE, **chain.ORACLE}
+QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES, **files.QUERIES, **chain.QUERIES, **reviews.QUERIES}
+ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE, **files.ORACLE, **chain.ORACLE, **reviews.ORACLE}
