@@ -66,3 +66,27 @@ def test_empty_tables_and_columns_stay(spark):
     assert kept.columns == d.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r["items"]) for r in kept.collect()) == sorted((docs[i][0] is None, docs[i][0] or 0, docs[i][1] or "", "mine") for i in clean)
     assert run(spark, [], items) == {}
+
+
+def test_one_stage_whatever_the_number_of_blocks(spark, capsys):
+    docs, items = cases()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    D.contamination(d, b, block_bytes=60).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_pieces_have_all_windows_once():
+    rng = random.Random(2)
+    for n in (0, 1, 5, 12, 13, 14, 40, 99, 100, 101, 113, 350):
+        words = [b"%d" % rng.randrange(50) for _ in range(n)]
+        whole = [tuple(words[i : i + min(13, n)]) for i in range(n - min(13, n) + 1)] if n else []
+        cut = [tuple(p[i : i + min(13, n)]) for p in D.pieces_of(words, 13, 100) for i in range(len(p) - min(13, n) + 1)]
+        assert cut == whole
+
+
+def test_very_long_text_and_item(spark):
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(5_000))
+    text = "filler words of a story " * 30_000 + item
+    r = D.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).first()
+    assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (155_000, 5_000, 1, False)

@@ -5,17 +5,19 @@ item gives its windows of 13 consecutive words, or one shorter window if it has
 share one searcher over the alphabet of words: a shift table of word blocks tells how far the search may jump,
 a block with shift 0 selects a bucket of windows by suffix and first word, and a direct comparison confirms.
 
-The benchmark is read in blocks of a bounded number of bytes, each broadcast in turn; the texts stay where they
-are, so nothing is shuffled, and hits of the blocks are added up in the row itself.
+Items are cut into pieces of a bounded number of windows, and the pieces dealt into blocks of about
+``BLOCK_BYTES``, each a broadcast of its own.  One stage reads the documents: a worker holds the searchers of at most
+``KEPT_BLOCKS`` blocks; of a larger benchmark it builds the others anew for every ``BUFFER_BYTES`` of documents.
+Nothing is shuffled, and hits of the blocks are added up in the row itself.
 
 Defined cases: a null, empty or wordless text has no words and no hits; an item without words has no windows;
-an item without id is searched (its hits count) but not listed; items that share an id count once; repeated
-documents give repeated rows; an empty benchmark gives no hits; other columns are not read.
+an item without id is searched (its hits count) but not listed; items that share an id count once; a very long text
+or item is searched whole; repeated documents give repeated rows; an empty benchmark gives no hits, an empty table
+no rows; overlapping occurrences, of one item or several, count each word once; other columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 WINDOW = 13
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark is searched in more blocks.
-BLOCK_BYTES = 2 << 20
+#: Bytes of benchmark words in a block; about seventy times as many are a worker's searchers of it.
+BLOCK_BYTES = 1 << 20
+#: Windows of an item in a piece.
+PIECE_WINDOWS = 1_024
+#: Blocks whose searchers a worker keeps, and the bytes of documents for which it builds those of other blocks.
+KEPT_BLOCKS, BUFFER_BYTES = 4, 8 << 20
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -43,16 +49,17 @@ class Searcher:
         self.length, self.block = length, min(block, length)
         self.jump = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[bytes, dict[tuple[bytes, ...], set]]] = {}
+        self.buckets: dict[tuple[bytes, ...], dict[bytes, list[tuple[list[bytes], int, object]]]] = {}
 
-    def add(self, window: tuple[bytes, ...], item: object) -> None:
+    def add(self, words: list[bytes], start: int, item: object) -> None:
+        """The window of an item's words that begins at ``start``."""
         n, b = self.length, self.block
         for end in range(b, n + 1):
-            key = window[end - b : end]
+            key = tuple(words[start + end - b : start + end])
             if n - end < self.shift.get(key, self.jump):
                 self.shift[key] = n - end
-        first = self.buckets.setdefault(window[n - b :], {})
-        first.setdefault(window[0], {}).setdefault(window, set()).add(item)
+        bucket = self.buckets.setdefault(tuple(words[start + n - b : start + n]), {})
+        bucket.setdefault(words[start], []).append((words, start, item))
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
         """Start and items of each occurrence, from left to right."""
@@ -66,14 +73,23 @@ class Searcher:
                 continue
             start = end - n
             if candidates := self.buckets[key].get(words[start]):
-                found = candidates.get(tuple(words[start:end]))
-                if found is not None:
+                here = words[start:end]
+                found = {item for own, at, item in candidates if own[at : at + n] == here}
+                if found:
                     yield start, found
             end += 1
 
 
+def pieces_of(words: list[bytes], window: int, size: int = PIECE_WINDOWS) -> Iterator[list[bytes]]:
+    """An item's words in pieces that have all its windows, each window in one piece."""
+    n = min(window, len(words))
+    for start in range(0, len(words) - n + 1, size):
+        if words:
+            yield words[start : start + size + n - 1]
+
+
 def searchers(items: list[tuple[object, str | None]], window: int = WINDOW) -> list[Searcher]:
-    """One searcher for each window length in the items."""
+    """One searcher for each window length in the items (or pieces of items)."""
     by_length: dict[int, Searcher] = {}
     for item, text in items:
         words = words_of(text)
@@ -81,29 +97,50 @@ def searchers(items: list[tuple[object, str | None]], window: int = WINDOW) -> l
             n = min(window, len(words))
             searcher = by_length.setdefault(n, Searcher(n))
             for i in range(len(words) - n + 1):
-                searcher.add(tuple(words[i : i + n]), item)
+                searcher.add(words, i, item)
     return [by_length[n] for n in sorted(by_length)]
 
 
 _cache: dict[str, list[Searcher]] = {}
 
 
-def _built(key: str, items: list, window: int) -> list[Searcher]:
-    if key not in _cache:
+def _built(key: str, shared, window: int, keep: bool) -> list[Searcher]:
+    """The searchers of a block; with ``keep`` they stay in this worker until another benchmark comes."""
+    if key in _cache:
+        return _cache[key]
+    if any(k.split()[0] != key.split()[0] for k in _cache):
         _cache.clear()
-        _cache[key] = searchers(items, window)
-    return _cache[key]
+    found = searchers(shared.value, window)
+    vars(shared).pop("_value", None)  # the block's rows are not needed any more
+    if keep:
+        _cache[key] = found
+    return found
+
 
+def _blocks(bench: DataFrame, item_col: str, text_col: str, limit: int, window: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The pieces (item as string, words) of the benchmark in blocks of about ``limit`` bytes, read one block at a time."""
+    C.prepare(bench.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C.text_slices(batches):
+            items, out = [], []
+            for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for piece in pieces_of(words_of(text), window):
+                    items.append(item)
+                    out.append(b" ".join(piece).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(out, pa.string())], names=["item", "text"])
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
-    """The benchmark's (id as string, text) rows in blocks of about ``limit`` bytes, read one block at a time,
-    and whether more follow."""
     rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = 1 if total <= limit else 2 * -(-total // limit)
+    pieces = rows.mapInArrow(cut, "item string, text string").distinct()
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total <= limit:
+        yield [tuple(r) for r in pieces.collect()]  # at most ``limit`` bytes
+        return
+    n = 2 * -(-total // limit)
+    written = C.materialize(pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartitionByRange("block").sortWithinPartitions("block"), "benchmark")
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()], k + 1 < n
+        yield [tuple(r) for r in written.where(F.col("block") == k).select("item", "text").collect()]  # pieces are small beside a block, so it has about half of ``limit``
+    C.discard(written)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -113,40 +150,37 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     words and ``share * n_hit >= n_words``.  ``keep`` names columns of the documents to carry along, as ``k__<name>``.
     """
     spark = docs.sparkSession
+    C.prepare(spark)
     carried = [c for c in keep if c != text_col]
-    zero, none = F.lit(0).cast("bigint"), F.array()
-    source = docs.select(F.col(id_col).alias("__0"), F.col(text_col).cast("string").alias("__1"), zero.alias("n_words"), zero.alias("n_hit"), none.cast("array<bigint>").alias("hits"), none.cast("array<string>").alias("items"), *(F.col(c).alias(f"k__{c}") for c in carried))
-    schema = source.schema
-
-    def run(batches: Iterator[pa.RecordBatch], shared, key: str, text_goes_on: bool) -> Iterator[pa.RecordBatch]:
-        found = _built(key, shared.value, window)
-        for part in C.text_slices(batches):
-            counts, hit, hits, items = [], [], [], []
-            for text, old_hits, old_items in zip(C.text_array(part.column(1)).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                words = words_of(text)
-                spans = list(zip(old_hits[::2], old_hits[1::2], strict=True))
-                names = set(old_items)
-                for searcher in found:
-                    for start, owners in searcher.search(words):
-                        if spans and spans[-1][0] <= start <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], start + searcher.length))
-                        else:
-                            spans.append((start, start + searcher.length))
-                        names |= owners
-                names.discard(None)
-                spans = merge(spans)
-                counts.append(len(words))
-                hit.append(sum(b - a for a, b in spans))
-                hits.append([x for span in spans for x in span])
-                items.append(sorted(names))
-            text = part.column(1) if text_goes_on else pa.nulls(part.num_rows, part.schema.field(1).type)
-            columns = [part.column(0), text, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *part.columns[6:]]
-            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-    out = source
-    for block, more in _blocks(bench, item_col, item_text_col, block_bytes):
-        goes_on = more or text_col in keep
-        out = out.mapInArrow(functools.partial(run, shared=spark.sparkContext.broadcast(block), key=uuid.uuid4().hex, text_goes_on=goes_on), schema)
+    source = docs.select(F.col(id_col).alias("__0"), F.col(text_col).cast("string").alias("__1"), *(F.col(c).alias(f"k__{c}") for c in carried))
+    text_goes_on = text_col in keep
+    found_fields = "n_words bigint, n_hit bigint, hits array<bigint>, items array<string>"
+    head = [f"__0 {source.schema[0].dataType.simpleString()}", *(["__1 string"] if text_goes_on else [])]
+    schema = ", ".join([*head, found_fields, *(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])])
+    name = uuid.uuid4().hex
+    shared = [spark.sparkContext.broadcast(block) for block in _blocks(bench, item_col, item_text_col, block_bytes, window)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = len(shared) <= KEPT_BLOCKS
+        for part in C.text_slices(batches, limit=C.SLICE_BYTES if few else BUFFER_BYTES):
+            texts = [words_of(t) for t in C.text_array(part.column(1)).to_pylist()]
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            names: list[set] = [set() for _ in texts]
+            for k, block in enumerate(shared):
+                for searcher in _built(f"{name} {k}", block, window, few or k < KEPT_BLOCKS):
+                    for words, own, items in zip(texts, spans, names, strict=True):
+                        for start, owners in searcher.search(words):
+                            if own and own[-1][0] <= start <= own[-1][1]:
+                                own[-1] = (own[-1][0], max(own[-1][1], start + searcher.length))
+                            else:
+                                own.append((start, start + searcher.length))
+                            items |= owners
+            spans = [merge(own) for own in spans]
+            columns = [part.column(0), *([part.column(1)] if text_goes_on else []), pa.array(list(map(len, texts)), pa.int64()), pa.array([sum(b - a for a, b in own) for own in spans], pa.int64())]
+            columns += [pa.array([[x for span in own for x in span] for own in spans], pa.list_(pa.int64())), pa.array([sorted(x for x in items if x is not None) for items in names], pa.list_(pa.string())), *part.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["__0", *(["__1"] if text_goes_on else []), "n_words", "n_hit", "hits", "items", *part.schema.names[2:]])
+
+    out = source.mapInArrow(run, schema)
     bad = (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
     back = [F.col("__1" if c == text_col else f"k__{c}").alias(f"k__{c}") for c in keep]
     return out.select(F.col("__0").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", bad.alias("contaminated"), "hits", *back)
