@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vocalmill.llm import registry, simhash
@@ -55,6 +56,41 @@ def test_planted_cases(spark, tmp_path):
     assert len(words_of(item)) == 30
 
 
+@pytest.fixture(scope="module")
+def odd_tables(tmp_path_factory, spark):
+    """Few rows with every odd case: nulls, an empty and a very long text, repeated rows, names that clash."""
+    folder = tmp_path_factory.mktemp("odd")
+    long = " ".join(f"long{i % 977}x{i}" for i in range(30_000))
+    rows = [(None, "a text without an id of its own", None), (1, None, "1"), (2, "", "x"), (3, long, "3"), (3, long, "3"), (4, "one plain line of text here", "4"), (4, "another text under that id", "4")]
+    schema = "doc_id long, text string, n_chars string"
+    extra = ("__deleted", "__kept", "kept", "fp", "root", "deleted", "c0", "rejected", "k__text", "runs", "__id", "th", "n_deleted", "items", "lang")
+    docs = spark.createDataFrame(rows, schema)
+    for k, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(k))
+    docs.write.parquet(f"{folder}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{folder}/empty/documents.parquet")
+    for where in ("full", "empty"):
+        spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/{where}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/{where}/benchmark.parquet")
+    return folder, extra
+
+
+def test_odd_tables_go_through_all_stages(spark, odd_tables):
+    folder, extra = odd_tables
+    docs = spark.read.parquet(f"file://{folder}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{folder}/full")
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType.simpleString() == "string", name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in docs.collect()) == sorted([(True, 0, 31), (False, 1, 0), (False, 3, docs.where("doc_id = 3").first().text.__len__()), (False, 4, 27), (False, 4, 26)])
+    assert all(getattr(r, name) == k for r in docs.collect() for k, name in enumerate(extra) if not name.startswith("__"))
+    assert corpus_pipeline.run(spark, f"file://{folder}/full").count() == 5
+
+
+def test_empty_tables_go_through_all_stages(spark, odd_tables):
+    assert corpus_pipeline.run(spark, f"file://{odd_tables[0]}/empty").count() == 0
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_equals_sql(spark, name):

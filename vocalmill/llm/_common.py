@@ -123,6 +123,14 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that other columns can't clash with an operator's own."""
     prepare(df.sparkSession)

@@ -12,7 +12,9 @@ link is lost and no group's pairs are listed.  Components come from :mod:`compon
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer than three words
 are one shingle; repeated rows share a component; a null id gives a row but never names a component unless the
-component has no other id; an empty table gives an empty result; other columns are not read.
+component has no other id; a very long text is fingerprinted whole, in slices of its hashes; of equal ids in a
+component the least fingerprint stays; an empty table gives an empty result; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -114,15 +116,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fingerprints are fingerprinted again, so that the id's other texts don't pass for the one kept.
     """
     prints, owner = _owners(docs, id_col, text_col)
-    kept = prints.join(owner, "fp").where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("__kept"), F.min("fp").alias("__fp"))
+    fields = [f"c{k}" for k in range(len(docs.columns))]
+    here = docs.select(*(F.col(c).alias(f) for c, f in zip(docs.columns, fields, strict=True)))  # no name can clash from here on
+    own, at = fields[docs.columns.index(id_col)], docs.columns.index(text_col)
+    prints = prints.withColumnRenamed(id_col, "id")
+    kept = prints.join(owner, "fp").where(F.col("id") == F.col("component_id")).groupBy("root").agg(F.min("id").alias("kept"), F.min("fp").alias("kept_fp"))
     kept = C.materialize(kept.drop("root"), "kept")
-    several = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__several")).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("__several")
+    several = prints.where("id IS NOT NULL").groupBy(F.col("id").alias("several")).agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("several")
     several = C.materialize(several, "several")
-    single = kept.join(several, F.col("__kept") == F.col("__several"), "left_anti")
-    named = docs.join(single, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    fields = [f"c{k}" for k in range(len(docs.columns))]
-    at = docs.columns.index(text_col)
-    own = fields[docs.columns.index(id_col)]
+    single = kept.join(several, F.col("kept") == F.col("several"), "left_anti")
+    named = here.join(single, F.col(own) == F.col("kept"), "left_semi").dropDuplicates([own])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in C.text_slices(batches, at):
@@ -130,19 +133,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=[*fields, "fp"])
 
     def printed(rows: DataFrame) -> DataFrame:
-        source = rows.select(*(F.col(c).alias(f) for c, f in zip(docs.columns, fields, strict=True)))
-        return source.mapInArrow(add, source.withColumn("fp", F.lit(0).cast("bigint")).schema)
-
-    def restored(rows: DataFrame) -> DataFrame:
-        return rows.select(*(F.col(f).alias(c) for f, c in zip(fields, docs.columns, strict=True)))
-
-    alone = printed(docs.where(F.col(id_col).isNull())).join(owner.where("component_id IS NULL"), "fp").dropDuplicates(["root"])
-    out = named.unionByName(restored(alone))
-    if several.isEmpty():
-        return out
-    again = printed(docs.join(several, F.col(id_col) == F.col("__several"), "left_semi"))
-    again = again.join(kept, (F.col(own) == F.col("__kept")) & (F.col("fp") == F.col("__fp")), "left_semi").dropDuplicates([own, "fp"])
-    return out.unionByName(restored(again))
+        return rows.mapInArrow(add, rows.withColumn("fp", F.lit(0).cast("bigint")).schema)
+
+    alone = printed(here.where(F.col(own).isNull())).join(owner.where("component_id IS NULL"), "fp").dropDuplicates(["root"])
+    out = named.unionByName(alone.select(*fields))
+    if not several.isEmpty():
+        again = printed(here.join(several, F.col(own) == F.col("several"), "left_semi"))
+        again = again.join(kept, (F.col(own) == F.col("kept")) & (F.col("fp") == F.col("kept_fp")), "left_semi").dropDuplicates([own, "fp"])
+        out = out.unionByName(again.select(*fields))
+    return out.select(*(F.col(f).alias(c) for f, c in zip(fields, docs.columns, strict=True)))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
