@@ -3,6 +3,10 @@
 Toxic documents go, later copies of line runs are cut, one document of each near-duplicate group stays, documents
 contaminated by the benchmark go, and what is left is encoded to token ids (and decoded again, for its digest).
 All stages but the last return the columns of ``documents``; ``n_chars`` follows the text where lines were cut.
+
+Defined cases: null and empty texts are one group of near-duplicates, of which one row stays; rows that share id and
+text count as copies; of equal copies the first by id, then by text hash, keeps its lines; a very long text goes through
+each stage whole; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.dedup(docs, count_col="__deleted")
+    deleted = C.unused(docs, "deleted")
+    cut = linededup.dedup(docs, count_col=deleted)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__deleted") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col(deleted) > 0, size).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
