@@ -14,10 +14,11 @@ first occurrence is another one, its lines are deleted.  The doubling therefore
 rounds could not change the result.  Positions run within range partitions, so no task sees all lines; the one
 join by content reads a written table of groups, so that Spark can split a hot line over tasks.
 
-Defined cases: a null text stays null, an empty one empty; blank lines match nothing and go with a deleted line
-before them; rows that share id and text are one document and get the same result; null ids come first; the first
-copy of a line is never deleted; a document may end up empty; an empty table gives an empty result; other columns
-pass through untouched.
+Defined cases: a null text stays null, an empty one empty; a very long text is read whole, a row for each line; blank
+lines match nothing and go with a deleted line before them; rows that share id and text are one document and get the
+same result; of equal runs the one in the least id (null first), then in the least text hash, then further up stays;
+the first copy of a line is never deleted; a document may end up empty; an empty table gives an empty result; other
+columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from . import _common as C
 MIN_WORDS = 50
 #: Bits of a position that count lines within a range partition.
 LINE_BITS = 42
+#: Bits of the filter that tells which documents may have lines to delete; 64 of them a row that is broadcast.
+FILTER_BITS = 1 << 25
 
 
 def windows(counts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -143,7 +146,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         k += 1
         if (1 << k) <= longest:
             second = names.select((F.col("pos") - width).alias("pos"), F.col("name").alias("n2"))
-            names = _named(names.withColumnRenamed("name", "n1").join(second, "pos"), ["n1", "n2"])
+            pairs = C.materialize(names.withColumnRenamed("name", "n1").join(second, "pos"), "pairs")
+            names = _named(pairs, ["n1", "n2"])
+            C.discard(pairs)
     if not found:
         found = [starts.select("__id", "th", "line", "m").limit(0)]
     every = found[0]
@@ -169,13 +174,21 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
     """All rows and columns of ``docs``, with later copies of line runs deleted from the text.
 
-    ``count_col`` names a column to add, the number of deleted lines.
+    ``count_col`` names a column to add, the number of deleted lines.  A filter of ``FILTER_BITS`` bits over the
+    documents with runs lets the others pass by without a shuffle; those that it can't tell apart only cost one.
     """
     runs = repeated_runs(docs, id_col, text_col, min_words)
     here = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     right = runs.select(F.col("__id").alias("r_id"), F.col("th").alias("r_th"), "runs").hint("merge")
-    joined = here.join(right, F.col(key).eqNullSafe(F.col("r_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("r_th")), "left")
+    bit = lambda th: F.pmod(th, F.lit(FILTER_BITS))
+    words = runs.select(F.shiftright(bit(F.col("th")), 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col("th")).bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    words = C.materialize(words, "filter")
+    th = F.xxhash64(F.col(text).cast("string"))
+    marked = here.withColumn("th", th).withColumn("word", F.shiftright(bit(F.col("th")), 6)).join(F.broadcast(words), "word", "left")  # at most FILTER_BITS / 64 rows of two numbers
+    may = F.coalesce(F.getbit("bits", bit(F.col("th")).bitwiseAND(F.lit(63))) == 1, F.lit(False))
+    passed = marked.where(~may)
+    joined = marked.where(may).join(right, F.col(key).eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left")
 
     at = docs.columns.index(text_col)
     names = [*docs.columns, *([count_col] if count_col else [])]
@@ -196,7 +209,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             columns = [texts if k == at else part.column(k) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*fields, "n_deleted"])
 
-    out = source.mapInArrow(apply, schema)
+    out = source.mapInArrow(apply, schema).unionByName(passed.select(*fields, F.lit(0).cast("bigint").alias("n_deleted")))
     return out.select(*(F.col(f).alias(n) for f, n in zip([*fields, "n_deleted"], names, strict=False)))
 
 
