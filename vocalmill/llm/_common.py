@@ -117,6 +117,17 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def discard_others(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
+    """Delete the tables written since ``before`` (a copy of the names written by then), but for those of ``kept``."""
+    for path in sorted(_written - before - {df._vocalmill_path for df in kept}):
+        _delete(spark, path)
+
+
+def written() -> set[str]:
+    """The names of the tables that this process has written and not deleted, for :func:`discard_others`."""
+    return set(_written)
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete all tables that this process has written and not deleted; for when no result is still to be computed."""
     for path in sorted(_written):

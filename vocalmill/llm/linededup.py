@@ -1,18 +1,14 @@
-"""Line dedup: repeated runs of lines are found by prefix doubling, and later copies are deleted.
+"""Line dedup: a suffix array over the lines shows what is repeated, and later copies are deleted.
 
 The text is the sequence of all non-blank lines of all documents, in order of id (then of text hash), with a gap
-after each document.  Every line has a position in it and a 128-bit content hash.  Prefix doubling names the
-block of 2**k lines at a position: first by the least position with the same line, then by the least position
-with the same pair of names (at p and p + 2**k).  Equal names mean equal blocks, so the suffixes with one name
-are an interval of the suffix array whose longest common prefix is 2**k lines or more, and the name itself is the
-interval's first occurrence.  Only names that occur twice are kept, so the work shrinks to what repeats.
-
-A repeated run counts from ``min_words`` words.  Every such run is the union of minimal windows in it: those that
-start at a line and reach ``min_words`` as soon as possible, and those that end at a line likewise.  A window of m
-lines is identified by the two names of 2**k <= m lines that cover it from its start and from its end; where its
-first occurrence is another one, its lines are deleted.  The doubling therefore stops at the longest window: more
-rounds could not change the result.  Positions run within range partitions, so no task sees all lines; the one
-join by content reads a written table of groups, so that Spark can split a hot line over tasks.
+after each document.  Every line has a position in it and a 128-bit content hash as its id.  :mod:`suffixarray` orders
+the suffixes by prefix doubling and gives, for each position, the longest run of lines from there that also begins at a
+lesser position: the maximal repeats, seen from their later copies.
+
+A repeated run counts from ``min_words`` words.  So only suffixes whose first ``least`` lines (the fewest with that many
+words) may be repeated enter the prefixes; neighbours with shorter common prefixes part the array into intervals, and
+in an interval every suffix but the one at the least position begins a later copy.  Lines of such runs are deleted.
+Positions run within range partitions, so no task sees all lines.
 
 Defined cases: a null text stays null, an empty one empty; a very long text is read whole, a row for each line; blank
 lines match nothing and go with a deleted line before them; rows that share id and text are one document and get the
@@ -33,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from . import suffixarray
 
 MIN_WORDS = 50
 #: Bits of a position that count lines within a range partition.
@@ -41,17 +38,11 @@ LINE_BITS = 42
 FILTER_BITS = 1 << 25
 
 
-def windows(counts: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(start, length) of the minimal windows of at least ``least`` words, forwards and backwards, each once."""
+def least_lines(counts: np.ndarray, least: int) -> np.ndarray:
+    """For each line the fewest lines from it on that have at least ``least`` words; 0 where the document has too few."""
     ends = np.cumsum(counts)
-    if not len(ends) or ends[-1] < least:
-        return []
-    begins = ends - counts
-    stop = np.searchsorted(ends, begins + least, side="left")
-    forward = [(i, int(e) - i + 1) for i, e in enumerate(stop) if e < len(ends)]
-    start = np.searchsorted(begins, ends - least, side="right") - 1
-    backward = [(int(s), j - int(s) + 1) for j, s in enumerate(start) if s >= 0]
-    return sorted({*forward, *backward})
+    stop = np.searchsorted(ends, ends - counts + least, side="left")
+    return np.where(stop < len(ends), stop - np.arange(len(ends)) + 1, 0).astype(np.int32)
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,16 +67,16 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _positions(hashed: DataFrame, least: int) -> DataFrame:
-    """A row for each line: position, hash, and (where windows start) their lengths with the key of the document."""
+    """A row for each line: position, hash, place in the document, ``least`` lines, and the key of the document."""
     id_type = hashed.schema[0].dataType.simpleString()
-    schema = f"pos bigint, h1 bigint, h2 bigint, line int, lengths array<int>, __id {id_type}, th bigint"
+    schema = f"pos bigint, h1 bigint, h2 bigint, line int, least int, __id {id_type}, th bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = TaskContext.get().partitionId() << LINE_BITS, None
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                pos, hashes, line, lengths, rows = [], [], [], [], []
+                pos, hashes, line, fewest, rows = [], [], [], [], []
                 for row, (key, th, raw, words) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
                     if (key, th) == last:
                         continue
@@ -94,77 +85,46 @@ def _positions(hashed: DataFrame, least: int) -> DataFrame:
                     pos.append(np.arange(at, at + n))
                     hashes.append(np.frombuffer(raw, np.int64).reshape(-1, 2))
                     line.append(np.arange(n, dtype=np.int32))
-                    begun: list[list[int]] = [[] for _ in range(n)]
-                    for s, m in windows(np.array(words, np.int64), least):
-                        begun[s].append(m)
-                    lengths += begun
+                    fewest.append(least_lines(np.array(words, np.int64), least))
                     rows.append(np.full(n, row))
                     at += n + 1
                 if pos:
                     pair = np.concatenate(hashes)
                     take = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pos)), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(np.concatenate(line)), pa.array(lengths, pa.list_(pa.int32())), part.column(0).take(take), part.column(1).take(take)], names=["pos", "h1", "h2", "line", "lengths", "__id", "th"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pos)), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(np.concatenate(line)), pa.array(np.concatenate(fewest)), part.column(0).take(take), part.column(1).take(take)], names=["pos", "h1", "h2", "line", "least", "__id", "th"])
 
     parts = C.shuffle_parts(hashed)
     return hashed.repartitionByRange(parts, "__id", "th").sortWithinPartitions("__id", "th").mapInArrow(run, schema)
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(pos, name) for the rows whose keys occur twice or more; the name is the least position with the same keys."""
-    groups = C.materialize(rows.groupBy(*keys).agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
-    out = C.materialize(rows.join(groups, keys).select("pos", "name"), "names")
-    C.discard(groups)
-    return out
-
-
-def _later(found: DataFrame) -> DataFrame:
-    """Windows (m, n1, n2) that occur at an earlier position too."""
-    groups = C.materialize(found.groupBy("m", "n1", "n2").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "windows")
-    return found.join(groups, ["m", "n1", "n2"]).where("pos > first")
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, th, runs): for each document with later copies, windows (start, length) of non-blank lines to delete."""
+    """(__id, th, runs): for each document with later copies, runs (start, length) of non-blank lines to delete."""
+    before = C.written()
     hashed = C.materialize(_hashed(docs, id_col, text_col), "lines")
     lines = C.materialize(_positions(hashed, min_words), "positions")
-    C.discard(hashed)
-    names = _named(lines.select("pos", "h1", "h2"), ["h1", "h2"])
-    repeated = lines.where("size(lengths) > 0").join(names.select("pos"), "pos")
-    starts = C.materialize(repeated.select("pos", "line", "__id", "th", F.explode("lengths").alias("m")), "starts")
-    longest = starts.agg(F.max("m")).first()[0] or 0
-    found, k = [], 0
-    while (1 << k) <= longest:
-        width = 1 << k
-        level = starts.where((F.col("m") >= width) & (F.col("m") < 2 * width))
-        head = level.join(names, "pos")
-        whole = head.where(F.col("m") == width).where("name < pos")
-        found.append(whole.select("__id", "th", "line", "m"))
-        if width > 1:
-            tail = names.select((F.col("pos")).alias("at"), F.col("name").alias("n2"))
-            rest = head.where(F.col("m") > width).withColumnRenamed("name", "n1").withColumn("at", F.col("pos") + F.col("m") - width)
-            found.append(_later(C.materialize(rest.join(tail, "at"), "covered")).select("__id", "th", "line", "m"))
-        k += 1
-        if (1 << k) <= longest:
-            second = names.select((F.col("pos") - width).alias("pos"), F.col("name").alias("n2"))
-            pairs = C.materialize(names.withColumnRenamed("name", "n1").join(second, "pos"), "pairs")
-            names = _named(pairs, ["n1", "n2"])
-            C.discard(pairs)
-    if not found:
-        found = [starts.select("__id", "th", "line", "m").limit(0)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return C.materialize(every.groupBy("__id", "th").agg(F.collect_list(F.struct("line", "m")).alias("runs")), "runs")
+    ranks = suffixarray.suffix_ranks(lines, C.shuffle_parts(lines))
+    # a suffix whose first ``least`` lines are repeated had a repeated block of at least half as many
+    able = ranks.final.join(lines.where("least > 0").select("pos", "least"), "pos").where(F.col("least") < F.call_function("shiftleft", F.lit(2).cast("bigint"), F.col("level")))
+    candidates = C.materialize(able.join(ranks.levels[0].select("pos", F.col("rank").alias("line")), "pos").select("rank", "pos", "least", "line"), "candidates")
+    found = suffixarray.earlier_copies(suffixarray.common_prefixes(candidates, ranks), ranks)
+    placed = found.join(lines.select("pos", "line", "__id", "th"), "pos")
+    runs = C.materialize(placed.groupBy("__id", "th").agg(F.collect_list(F.struct("line", F.col("length").alias("m"))).alias("runs")), "runs")
+    C.discard_others(docs.sparkSession, before, runs)
+    return runs
 
 
 def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     """The text without the lines of the runs, and their number."""
-    gone = {i for start, m in runs for i in range(start, start + m)}
     kept, i, dropped, cut = [], -1, 0, False
+    runs = sorted(runs)
+    at, end = 0, 0  # runs taken so far reach to ``end``
     for line in text.split("\n"):
         if line.encode("utf-8", "surrogatepass").split():
             i += 1
-            cut = i in gone
+            while at < len(runs) and runs[at][0] <= i:
+                end = max(end, sum(runs[at]))
+                at += 1
+            cut = i < end
             dropped += cut
         if not cut:
             kept.append(line)
