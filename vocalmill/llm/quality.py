@@ -147,6 +147,10 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     window = data.astype(np.uint32)
     window[1:] |= data[:-1].astype(np.uint32) << np.uint32(8)
     window[2:] |= data[:-2].astype(np.uint32) << np.uint32(16)
+    for k in (0, 1):  # a text's first bytes see nothing of the text before
+        at = offsets[:-1] + k
+        at = at[at < len(data)]
+        window[at] &= np.uint32((1 << 8 * (k + 1)) - 1)
     return (window * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS), offsets
 
 
