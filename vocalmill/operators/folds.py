@@ -46,6 +46,15 @@ def cut(rows: Column, starts: Column) -> Column:
     return F.transform(starts, lambda s, k: F.slice(rows, s, F.coalesce(F.get(starts, k + 1), F.size(rows) + 1) - s))
 
 
+def exploded(df: DataFrame, keep: list[str], column: str, place: str, value: str) -> DataFrame:
+    """A row for each element of an array column that a fold made, with its place.
+
+    A plain explode of a column has the optimizer ask beforehand whether the array is empty, and so compute the fold
+    again in that question, inside its own lambda functions.
+    """
+    return df.select(*keep, F.posexplode_outer(column).alias(place, value)).where(F.col(place).isNotNull()).withColumn(place, F.col(place).cast("bigint"))
+
+
 def turn_fold(segments: DataFrame, key: str = "interview_id", gap_ms: int = 1800, max_turn_ms: int = 90000, keep_flags: bool = False) -> DataFrame:
     """Fold segments into turns.
 

@@ -194,12 +194,12 @@ def turn_ids(spark, d):
 def paragraph_fold_chunks(spark, d):
     """W10 over several texts: each line of a document is one."""
     docs = B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("texts"))
-    return folds.paragraphs(docs).select("doc_id", F.posexplode("paragraphs").alias("nth", "paragraph")).select("doc_id", F.col("nth").cast("bigint").alias("nth"), "paragraph")
+    return folds.exploded(folds.paragraphs(docs), ["doc_id"], "paragraphs", "nth", "paragraph")
 
 
 def block_paragraphs(spark, d):
     b = turns.blocks(TR.all_turns(spark, d), "conv_id")
-    return b.select("conv_id", F.col("block").cast("bigint").alias("block"), F.posexplode("paragraphs").alias("nth", "paragraph")).withColumn("nth", F.col("nth").cast("bigint"))
+    return folds.exploded(b.withColumn("block", F.col("block").cast("bigint")), ["conv_id", "block"], "paragraphs", "nth", "paragraph")
 
 
 def vtt_files(spark, d):

@@ -113,7 +113,7 @@ def readable_blocks(spark, d):
 
 def paragraph_fold(spark, d):
     docs = folds.paragraphs(B.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array("text").alias("texts")))
-    return docs.select("doc_id", F.posexplode("paragraphs").alias("nth", "paragraph")).select("doc_id", *_long("nth"), "paragraph")
+    return folds.exploded(docs, ["doc_id"], "paragraphs", "nth", "paragraph")
 
 
 def srt_cues(spark, d):

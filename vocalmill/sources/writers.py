@@ -70,7 +70,7 @@ def nvivo_rows(turns: DataFrame, key: str = "interview_id") -> DataFrame:
 
 def markdown(turns: DataFrame, key: str = "interview_id") -> DataFrame:
     """K5: (key, content): a heading, then each block with its start and speaker, paragraphs apart."""
-    shown = blocks(turns, key).where("size(paragraphs) > 0")
+    shown = blocks(turns, key)  # every block has a text, hence a paragraph
     first = F.concat(F.lit("["), clock(F.col("start_ms")), F.lit("] **"), "label", F.lit(":** "), F.get("paragraphs", F.lit(0)))
     line = F.concat_ws("\n\n", first, F.slice("paragraphs", 2, F.greatest(F.size("paragraphs") - 1, F.lit(0))))
     body = _in_order(shown, line, "block", key, "\n\n")
@@ -181,7 +181,7 @@ def write_docx(turns: DataFrame, folder: str, key: str = "interview_id") -> bool
     except ImportError:
         LOG.info("python-docx is not installed: no documents written")
         return False
-    rows = blocks(turns, key).where("size(paragraphs) > 0").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", clock(F.col("start_ms")).alias("at"), "label", "paragraphs"))).alias("b"))
+    rows = blocks(turns, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", clock(F.col("start_ms")).alias("at"), "label", "paragraphs"))).alias("b"))
 
     def save(part) -> None:
         from docx import Document
