@@ -18,6 +18,7 @@ its edge.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 
+#: Rows for which a round takes another task; what is left of the sequence shrinks from round to round.
+TASK_ROWS = 100_000
+
+
 @dataclass
 class Ranks:
     """Each level k of doubling as a table (pos, rank): the positions whose block of 2**k lines is repeated; and the
@@ -41,6 +46,11 @@ class Ranks:
     parts: int
 
 
+def _by_number(values: list, number: str, kind: str = "bigint"):
+    """The value of a short list at the place that a column of small numbers names; a constant of the plan."""
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col(number))
+
+
 def _group_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, pos) in order: their place in the partition, and the places at which their groups of equal a, and of
     equal (a, b), begin; ``several`` if the row before or after is of the same group."""
@@ -88,37 +98,37 @@ def _ordered(rows: DataFrame, parts: int, first: bool) -> tuple[DataFrame, int,
     table = C.materialize(sorted_.mapInArrow(_group_scan, _SCANNED), "ordered")
     edge = F.struct("at", "a", "b", "ga", "gb", "several")
     stats = table.groupBy("pid").agg(F.count("*").alias("n"), F.min(edge).alias("head"), F.max(edge).alias("tail"), F.count_if("several").alias("m")).collect()
-    base, repeated, last, carried = 0, 0, None, []
-    extra = {}  # (pid, place of a group) whose only row here is not alone
+    many = max((r.pid for r in stats), default=0) + 1
+    bases, from_as, from_bs, last_at, head_joined, tail_joined = ([0] * many for _ in range(6))
+    base, repeated, last = 0, 0, None
     for r in sorted(stats, key=lambda r: r.pid):
         same_a = last is not None and last[0] == r.head.a
         same_b = same_a and last[1] == r.head.b
-        from_a, from_b = (last[2] if same_a else base), (last[3] if same_b else base)
-        carried.append([r.pid, base, from_a, from_b])
-        if same_b:
-            for pid, row in ((last[4], last[5]), (r.pid, r.head)):
-                if not row.several:
-                    extra[pid, row.at] = True
-        tail_a = from_a if r.tail.ga == 0 else base + r.tail.ga
-        tail_b = from_b if r.tail.gb == 0 else base + r.tail.gb
-        last = (r.tail.a, r.tail.b, tail_a, tail_b, r.pid, r.tail)
+        bases[r.pid], last_at[r.pid] = base, r.n - 1
+        from_as[r.pid], from_bs[r.pid] = (last[2] if same_a else base), (last[3] if same_b else base)
+        if same_b:  # a group goes on here: its rows on either side of the edge are not alone
+            pid, tail, joined = last[4:]
+            repeated += not (tail.several or joined)
+            tail_joined[pid] = 1
+            repeated += not r.head.several
+            head_joined[r.pid] = 1
+        tail_a = from_as[r.pid] if r.tail.ga == 0 else base + r.tail.ga
+        tail_b = from_bs[r.pid] if r.tail.gb == 0 else base + r.tail.gb
+        last = (r.tail.a, r.tail.b, tail_a, tail_b, r.pid, r.tail, same_b and r.n == 1)
         base += r.n
         repeated += r.m
-    repeated += len(extra)
-    spark = rows.sparkSession
-    places = spark.createDataFrame(carried, "pid int, base bigint, from_a bigint, from_b bigint")
-    alone = spark.createDataFrame([(p, at, True) for p, at in extra], "pid int, at bigint, joined boolean")
-    placed = table.join(F.broadcast(places), "pid").join(F.broadcast(alone), ["pid", "at"], "left")  # a few rows a partition
-    global_a = F.when(F.col("ga") == 0, F.col("from_a")).otherwise(F.col("base") + F.col("ga"))
-    global_b = F.when(F.col("gb") == 0, F.col("from_b")).otherwise(F.col("base") + F.col("gb"))
+    global_a = F.when(F.col("ga") == 0, _by_number(from_as, "pid")).otherwise(_by_number(bases, "pid") + F.col("ga"))
+    global_b = F.when(F.col("gb") == 0, _by_number(from_bs, "pid")).otherwise(_by_number(bases, "pid") + F.col("gb"))
+    joined = ((F.col("at") == 0) & (_by_number(head_joined, "pid") == 1)) | ((F.col("at") == _by_number(last_at, "pid")) & (_by_number(tail_joined, "pid") == 1))
     rank = global_b if first else F.col("a") + global_b - global_a
-    return placed.select("pos", rank.alias("rank"), (F.col("several") | F.coalesce("joined", F.lit(False))).alias("several")), base, repeated
+    return table.select("pos", rank.alias("rank"), (F.col("several") | joined).alias("several")), base, repeated
 
 
 def suffix_ranks(lines: DataFrame, parts: int) -> Ranks:
     """Ranks of the suffixes of a sequence of lines (pos, h1, h2), whose two hashes are the line's id."""
     found, size, repeated = _ordered(lines.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "pos"), parts, True)
     levels, settled, k = [found.where("several").select("pos", "rank")], [], 0
+    most = tasks = max(1, min(parts, repeated // TASK_ROWS + 1))
     while repeated:
         width = 1 << k
         known = levels[-1]
@@ -126,7 +136,8 @@ def suffix_ranks(lines: DataFrame, parts: int) -> Ranks:
             known = known.unionByName(s.select("pos", "rank"))
         after = known.select((F.col("pos") - width).alias("pos"), F.col("rank").alias("next"))
         pairs = levels[-1].join(after, "pos", "left").select(F.col("rank").alias("a"), F.coalesce("next", -1 - (F.col("pos") + width)).alias("b"), "pos")
-        found, _, repeated = _ordered(pairs, parts, False)
+        found, _, repeated = _ordered(pairs, tasks, False)
+        tasks = max(1, min(parts, repeated // TASK_ROWS + 1))
         settled.append(found.where("NOT several").select("pos", "rank", F.lit(k).alias("level")))
         if repeated:
             levels.append(found.where("several").select("pos", "rank"))
@@ -134,7 +145,7 @@ def suffix_ranks(lines: DataFrame, parts: int) -> Ranks:
     final = lines.select("pos").limit(0).select("pos", F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("level"))
     for s in settled:
         final = final.unionByName(s)
-    return Ranks(levels, final, max(1, size), parts)
+    return Ranks(levels, final, max(1, size), most)
 
 
 def _sliced(rows: DataFrame, ranks: Ranks) -> DataFrame:
@@ -160,16 +171,14 @@ def _neighbours(candidates: DataFrame, ranks: Ranks) -> DataFrame:
     schema = "slice int, rank bigint, pos bigint, least int, line bigint, q bigint, q_line bigint"
     table = C.materialize(_sliced(candidates, ranks).select("slice", "rank", "pos", "least", "line").mapInArrow(_neighbour_scan, schema), "neighbours")
     ends = table.groupBy("slice").agg(F.max_by(F.struct("pos", "line"), "rank").alias("e")).collect()  # a row a slice
-    handed, last = [], None
+    places, lines, last = [-1] * ranks.parts, [-1] * ranks.parts, None
     for r in sorted(ends, key=lambda r: r["slice"]):
         if last is not None:
-            handed.append((r["slice"], last.pos, last.line))
+            places[r["slice"]], lines[r["slice"]] = last.pos, last.line
         last = r.e
-    given = candidates.sparkSession.createDataFrame(handed, "slice int, g_pos bigint, g_line bigint")
-    whole = table.join(F.broadcast(given), "slice", "left")
-    q = F.when(F.col("q") >= 0, F.col("q")).otherwise(F.coalesce("g_pos", F.lit(-1)))
-    same = F.when(F.col("q") >= 0, F.col("line") == F.col("q_line")).otherwise(F.coalesce(F.col("line") == F.col("g_line"), F.lit(False)))
-    return whole.select("slice", "rank", "pos", "least", q.alias("q"), same.alias("same"))
+    q = F.when(F.col("q") >= 0, F.col("q")).otherwise(_by_number(places, "slice"))
+    same = F.col("line") == F.when(F.col("q") >= 0, F.col("q_line")).otherwise(_by_number(lines, "slice"))
+    return table.select("slice", "rank", "pos", "least", q.alias("q"), same.alias("same"))
 
 
 def _chain_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
