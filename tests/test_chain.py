@@ -174,10 +174,10 @@ def test_samples_of_every_width(width, code):
 
 def test_documents_with_python_docx_or_without(spark, tmp_path):
     t = folds.turn_fold(spark.createDataFrame([("r", 0, 0, 1000, "S", "Ana", "words", False)], SEGMENT))
-    written = writers.write_docx(t, f"{tmp_path}")
+    written = writers.export(t, f"file://{tmp_path}", ("docx",))
     try:
         import docx
     except ImportError:
-        assert written is False and not list(tmp_path.iterdir())
+        assert written == [] and not list(tmp_path.iterdir())
     else:
-        assert written and docx.Document(f"{tmp_path}/r.docx").paragraphs[0].text == "r"
+        assert written == ["docx"] and docx.Document(f"{tmp_path}/docx/r.docx").paragraphs[0].text == "r"

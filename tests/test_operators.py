@@ -235,13 +235,13 @@ def test_settings_round_trip(tmp_path):
 def test_files(spark, tmp_path):
     t = folds.turn_fold(spark.createDataFrame([("r", 0, 0, 1000, "S", "Ana", "Olá, \"x\"", True), ("r", 1, 5000, 5000, "T", "", "a --> b", False)], SEGMENT))
     assert writers.export(t, f"file://{tmp_path}/out", ("json", "md", "docx", "srt", "vtt", "csv", "nvivo")) in (["json", "md", "srt", "vtt", "csv", "nvivo"], ["json", "md", "docx", "srt", "vtt", "csv", "nvivo"])
-    srt = spark.read.text(f"file://{tmp_path}/out/srt/interview_id=r", wholetext=True).first()[0]
+    srt = readers.named_files(spark, f"file://{tmp_path}/out/srt", ".srt").first().content
     assert srt == '1\n00:00:00,000 --> 00:00:01,000\nAna: Olá, "x" [Dúvida]\n\n2\n00:00:05,000 --> 00:00:05,250\nT: a --> b\n'
     from vocalmill import schemas
 
     rows = readers.csv_table(spark, f"file://{tmp_path}/out/csv", schemas.strings(["interview_id", "text", "notes", "more"])).orderBy("text").collect()
     assert [tuple(r) for r in rows] == [("r", 'Olá, "x"', "Revisar falante.", ""), ("r", "a --> b", "", "")]
-    found = readers.listing(spark, f"file://{tmp_path}/out/md", "*.txt")
+    found = readers.listing(spark, f"file://{tmp_path}/out/md", "*.md")
     assert found.count() == 1 and found.first().size > 0
     writers.append_log(spark.createDataFrame([("r", "asr", "ok")], "interview_id string, stage string, status string"), f"file://{tmp_path}/log")
     writers.append_log(spark.createDataFrame([("r", "qc", "failed")], "interview_id string, stage string, status string"), f"file://{tmp_path}/log")

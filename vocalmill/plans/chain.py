@@ -213,7 +213,7 @@ def export_formats(spark, d):
     done = writers.export(t, folder)
     found = None
     for name in (n for n in done if n in ("md", "srt", "vtt")):
-        one = spark.read.text(f"{folder}/{name}", wholetext=True).select(F.lit(name).alias("format"), F.col("interview_id").cast("bigint").alias("conv_id"))
+        one = readers.named_files(spark, f"{folder}/{name}", writers.FORMATS[name][0], "conv_id").select(F.lit(name).alias("format"), F.col("conv_id").cast("bigint").alias("conv_id"))
         found = one if found is None else found.unionByName(one)
     for name, sep in (("csv", ","), ("tsv", "\t")):
         found = found.unionByName(spark.read.csv(f"{folder}/{name}", header=True, sep=sep, quote='"', escape='"', multiLine=True).select(F.lit(name).alias("format"), F.col("interview_id").cast("bigint").alias("conv_id")))

@@ -149,6 +149,13 @@ def probe_metadata(documents: DataFrame, key: str = "path", document: str = "doc
     return rows.select(key, *(values[c].alias(c) for c in PROBE_COLUMNS))
 
 
+def named_files(spark: SparkSession, path: str, ending: str, key: str = "interview_id") -> DataFrame:
+    """(key, content) of the files ``<key><ending>`` in a folder, as text."""
+    name = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"([^/]*)$", 1)
+    found = spark.read.option("pathGlobFilter", "*" + ending).text(path, wholetext=True).select(F.col("value").alias("content"), name.alias("n"))
+    return found.select(F.substring(F.col("n"), F.lit(1), F.length("n") - len(ending)).alias(key), "content")
+
+
 def job_log(spark: SparkSession, path: str) -> DataFrame:
     """Job events from JSON lines; unknown fields are left out, missing ones null."""
     return spark.read.schema(LOG).json(path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import logging
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..functions import text as X
 from ..functions.timecode import clock, cue_end, seconds_text, timecode
 from ..operators.turns import blocks
 from ..schemas import TURN_COLUMNS
+from ..session import ship
+from . import named
 
 LOG = logging.getLogger(__name__)
 BOM = "﻿"
@@ -49,8 +52,8 @@ def vtt(turns: DataFrame, key: str = "interview_id") -> DataFrame:
     return _in_order(cues(turns, ".", key), F.concat_ws("\n", "times", "text"), "cue", key, "\n\n", "WEBVTT\n\n")
 
 
-def turn_rows(turns: DataFrame, key: str = "interview_id") -> DataFrame:
-    """K8: the eleven columns of the turns table, all text."""
+def turn_rows(turns: DataFrame, key: str = "interview_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """K8: the eleven columns of the turns table, all text; ``keep`` names columns of the turns to carry along."""
     end = cue_end(_start(), F.col("end_ms"))
     given = X.blank_to_null(F.col("turn_id")) if "turn_id" in turns.columns else F.lit(None).cast("string")
     nth = F.row_number().over(Window.partitionBy(key).orderBy("turn"))
@@ -58,7 +61,7 @@ def turn_rows(turns: DataFrame, key: str = "interview_id") -> DataFrame:
         F.col(key).cast("string"), F.coalesce(given, F.format_string("turn_%06d", nth)), seconds_text(_start()), seconds_text(end), timecode(_start()), timecode(end),
         F.coalesce("speaker", F.lit("")), F.coalesce("human_label", F.lit("")), F.array_join(X.clean_flags(F.col("flags")), ";"), F.coalesce("notes", F.lit("")), X.collapse(F.coalesce("text", F.lit(""))),
     ]
-    return turns.select(*(v.alias(c) for v, c in zip(values, TURN_COLUMNS, strict=True)))
+    return turns.select(*keep, *(v.alias(c) for v, c in zip(values, TURN_COLUMNS, strict=True)))
 
 
 def nvivo_rows(turns: DataFrame, key: str = "interview_id") -> DataFrame:
@@ -170,55 +173,85 @@ def append_log(events: DataFrame, path: str) -> None:
 
 
 def write_contents(files: DataFrame, path: str, key: str = "interview_id") -> None:
-    """A folder for each recording with its content as text."""
+    """A folder for each recording with its content as text, for tables that Spark reads again."""
     files.select(key, F.regexp_replace("content", "\n$", "").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
-def write_docx(turns: DataFrame, folder: str, key: str = "interview_id") -> bool:
-    """A document for each recording, written by the executors into a shared folder; skipped without python-docx."""
+def delimited(rows: DataFrame, columns: list[str], order: str, key: str, sep: str = ",") -> DataFrame:
+    """K8, K9: (key, content) of tables as text, with a byte order mark and a header, quoted where needed."""
+    line = F.to_csv(F.struct(*columns), {"sep": sep, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    grouped = rows.select(key, order, line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("l"))
+    return grouped.select(key, F.concat(F.lit(BOM + sep.join(columns) + "\r\n"), F.array_join("l.line", "\r\n"), F.lit("\r\n")).alias("content"))
+
+
+def turn_tables(turns: DataFrame, key: str = "interview_id", sep: str = ",") -> DataFrame:
+    """K8: (key, content) of the turns as a table."""
+    keep = ("turn",) if key in TURN_COLUMNS else (key, "turn")
+    return delimited(turn_rows(turns, key, keep), TURN_COLUMNS, "turn", key, sep)
+
+
+def nvivo(turns: DataFrame, key: str = "interview_id") -> DataFrame:
+    """K9: (key, content) of the tables for coding programs."""
+    return delimited(nvivo_rows(turns, key), ["Timespan", "Speaker", "Content"], "turn", key, "\t")
+
+
+def documents(turns: DataFrame, key: str = "interview_id") -> DataFrame | None:
+    """(key, content) of DOCX files, as bytes; None without python-docx."""
     try:
         import docx  # noqa: F401
     except ImportError:
         LOG.info("python-docx is not installed: no documents written")
-        return False
+        return None
     rows = blocks(turns, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", clock(F.col("start_ms")).alias("at"), "label", "paragraphs"))).alias("b"))
 
-    def save(part) -> None:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
         from docx import Document
 
-        for row in part:
-            document = Document()
-            document.add_heading(str(row[key]), level=1)
-            for block in row.b:
-                first = document.add_paragraph()
-                first.add_run(f"[{block.at}] ")
-                first.add_run(f"{block.label}: ").bold = True
-                first.add_run(block.paragraphs[0])
-                for text in block.paragraphs[1:]:
-                    document.add_paragraph(text)
-            document.save(f"{folder}/{row[key]}.docx")
-
-    rows.foreachPartition(save)
-    return True
-
-
-FORMATS: dict[str, Callable[[DataFrame, str], None]] = {
-    "json": lambda turns, path: write_contents(canonical(turns), path),
-    "md": lambda turns, path: write_contents(markdown(turns), path),
-    "srt": lambda turns, path: write_contents(srt(turns), path),
-    "vtt": lambda turns, path: write_contents(vtt(turns), path),
-    "csv": lambda turns, path: write_csv(turn_rows(turns), path, TURN_COLUMNS),
-    "tsv": lambda turns, path: write_csv(turn_rows(turns), path, TURN_COLUMNS, sep="\t"),
-    "nvivo": lambda turns, path: write_csv(nvivo_rows(turns), path, ["Timespan", "Speaker", "Content"], sep="\t"),
-    "docx": write_docx,
+        for batch in batches:
+            for k, (name, parts) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                document, out = Document(), io.BytesIO()
+                document.add_heading(str(name), level=1)
+                for block in parts:
+                    first = document.add_paragraph()
+                    first.add_run(f"[{block['at']}] ")
+                    first.add_run(f"{block['label']}: ").bold = True
+                    first.add_run(block["paragraphs"][0])
+                    for text in block["paragraphs"][1:]:
+                        document.add_paragraph(text)
+                document.save(out)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([out.getvalue()], pa.binary())], names=[key, "content"])
+
+    ship(turns.sparkSession)
+    return rows.mapInArrow(build, f"{key} {turns.schema[key].dataType.simpleString()}, content binary")
+
+
+#: Formats of an export: how a recording's file name ends, and what is in the files.
+FORMATS: dict[str, tuple[str, Callable[[DataFrame, str], DataFrame | None]]] = {
+    "json": (".canonical.json", lambda turns, key: canonical(turns, None, key)),
+    "md": (".md", markdown),
+    "srt": (".srt", srt),
+    "vtt": (".vtt", vtt),
+    "csv": (".csv", turn_tables),
+    "tsv": (".tsv", lambda turns, key: turn_tables(turns, key, "\t")),
+    "nvivo": ("_nvivo.tsv", nvivo),
+    "docx": (".docx", documents),
 }
 
 
-def export(turns: DataFrame, folder: str, formats: tuple[str, ...] = ("md", "docx", "srt", "vtt", "csv", "tsv", "nvivo")) -> list[str]:
-    """The turns in several formats, each in its own folder; the formats written."""
+def export(turns: DataFrame, folder: str, formats: tuple[str, ...] = ("md", "docx", "srt", "vtt", "csv", "tsv", "nvivo"), key: str = "interview_id", mode: str = "append") -> list[str]:
+    """The turns in several formats, a file a recording in a folder a format, each folder committed as one; the formats written."""
     turns = turns.persist()
+    done = []
     try:
-        return [name for name in formats if FORMATS[name](turns, f"{folder}/{name}") is not False]
+        for name in formats:
+            ending, contents = FORMATS[name]
+            files = contents(turns, key)
+            if files is not None:
+                named.write(files, f"{folder}/{name}", ending, key, mode)
+                done.append(name)
+        return done
     finally:
         turns.unpersist()
 
