@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import waveform
+from ..session import ship
 from ..sources import growing, named, readers, writers
 from ..streaming import events as S
 from . import transcripts as TR
@@ -41,7 +49,45 @@ def stream_growing_log(spark, d):
     return spark.read.parquet(out)
 
 
-QUERIES = {f.__name__: f for f in (export_contents, stream_growing_log)}
+def wav_ranges(spark, d):
+    """WAV files of one and two channels and three widths, written by name and read in ranges of a few hundred bytes."""
+
+    @F.pandas_udf("binary")
+    def wav(values: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+        def one(v, w, c) -> bytes:
+            data, samples = io.BytesIO(), np.asarray(v, np.int64)
+            with wave.open(data, "wb") as file:
+                file.setnchannels(int(c))
+                file.setsampwidth(int(w))
+                file.setframerate(8000)
+                file.writeframes(np.repeat(samples + 128 if w == 1 else samples, c).astype({1: np.uint8, 2: "<i2", 4: "<i4"}[w]).tobytes())
+            return data.getvalue()
+
+        return pd.Series([one(*x) for x in zip(values, width, channels, strict=True)])
+
+    ship(spark)
+    k = F.col("l_suppkey")
+    sample = F.struct("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).alias("v"))
+    made = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(sample)).alias("s"))
+    folder = _folder(spark, "wav")
+    width = F.element_at(F.array(*map(F.lit, (1, 2, 4))), (k % 3 + 1).cast("int"))
+    named.write(made.select("l_suppkey", wav(F.col("s.v"), width, (k % 2 + 1).cast("int")).alias("content")), folder, ".wav", "l_suppkey")
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "length")
+    found = waveform.file_peaks(listing, 10, range_bytes=512)
+    return found.select(F.regexp_extract("file_id", r"(\d+)\.wav$", 1).cast("bigint").alias("l_suppkey"), "peak_idx", "peak", F.col("rate").cast("bigint").alias("rate"))
+
+
+def waveform_lookups(spark, d):
+    """The level of a stretch for every line of an order, over the peaks of its supplier."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("double").alias("peak"), "l_orderkey")
+    peaks = lines.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("id", "peak")) - 1).cast("bigint").alias("peak_idx"), "peak")
+    files = peaks.groupBy("file_id").agg((F.count("*") / 4).alias("duration"))
+    asked = lines.groupBy("file_id", "id").agg(F.min((F.col("l_orderkey") % 1000 / 8).cast("double")).alias("start"), F.min((F.col("l_orderkey") % 1000 / 8 + F.col("l_orderkey") % 37 / 2).cast("double")).alias("end"))
+    found = waveform.levels(asked, peaks, files)
+    return found.select("file_id", "id", F.round("level", 6).alias("level"))
+
+
+QUERIES = {f.__name__: f for f in (export_contents, stream_growing_log, wav_ranges, waveform_lookups)}
 
 
 def _cell(column: str, sep: str) -> str:
@@ -66,5 +112,15 @@ _CONTENTS = {
 }
 ORACLE = {
     "export_contents": " UNION ALL ".join(f"SELECT '{name}' AS format, conv_id, md5(content) AS h FROM ({sql})" for name, sql in _CONTENTS.items()),
+    "wav_ranges": """WITH v AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS int) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) - 1 AS i, abs(CAST(l_quantity AS int)) AS v FROM lineitem),
+      t AS (SELECT l_suppkey, i // 10 AS peak_idx, max(v) AS top FROM v GROUP BY ALL) SELECT l_suppkey, peak_idx, top::double / greatest(max(top) OVER (PARTITION BY l_suppkey), 1)::double AS peak, 8000 AS rate FROM t""",
+    "waveform_lookups": """WITH p AS (SELECT l_suppkey AS f, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber, l_quantity) - 1 AS i, CAST(l_quantity AS double) AS v FROM lineitem),
+      n AS (SELECT f, count(*) AS n, count(*) / 4.0::double AS dur FROM p GROUP BY f),
+      q AS (SELECT l_suppkey AS f, l_orderkey * 8 + l_linenumber AS id, min(l_orderkey % 1000 / 8.0::double) AS a, min(l_orderkey % 1000 / 8.0::double + l_orderkey % 37 / 2.0::double) AS b FROM lineitem GROUP BY ALL),
+      s AS (SELECT q.*, n, greatest(a, 0) / dur * n AS x, least(dur, b) / dur * n AS y FROM q JOIN n USING (f)),
+      r AS (SELECT *, greatest(0, least(n - 1, CAST(trunc(x) AS bigint))) AS i0 FROM s), e AS (SELECT *, greatest(i0 + 1, least(n, CAST(trunc(y) AS bigint) + 1)) AS i1 FROM r),
+      long AS (SELECT e.f, id, max(v) AS level FROM e JOIN p ON p.f = e.f AND p.i >= i0 AND p.i < i1 WHERE i1 - i0 > 2 GROUP BY ALL),
+      near AS (SELECT e.f, id, l.v + (r.v - l.v) * greatest(0, least(1, x - i0)) AS level FROM e JOIN p l ON l.f = e.f AND l.i = i0 JOIN p r ON r.f = e.f AND r.i = least(n - 1, i0 + 1) WHERE i1 - i0 <= 2)
+      SELECT f AS file_id, id, round(level, 6) AS level FROM (SELECT * FROM long UNION ALL SELECT * FROM near)""",
     "stream_growing_log": "SELECT user_id, event_id, event_type, event_id % 2 AS batch FROM events",
 }

@@ -7,7 +7,9 @@ from pyarrow import fs
 
 def at(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it; a path without a scheme is local."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 def files(uri: str, ending: str = "") -> list[tuple[str, int]]:
