@@ -1,4 +1,7 @@
-"""From recognised documents to turns and files: selection, reading, attribution, names, turns, exports, checks in one plan."""
+"""From recognised documents to turns and files: selection, reading, attribution, names, turns, exports, checks.
+
+Segments and turns are each written once, and read by all that follows: documents are parsed once, overlaps found once.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..sources import readers, writers
 from . import folds, library, qc, turns
 
 
 @dataclass
 class Rendered:
-    """Lazy tables: segments and turns of the selected recordings, and those without a document."""
+    """Segments and turns of the selected recordings, as written tables, and those without a document."""
 
     segments: DataFrame
     words: DataFrame
@@ -39,17 +43,18 @@ def render(manifest: DataFrame, raw: DataFrame, spans: DataFrame | None = None,
     without a document is in ``missing``, with its stage and status; it stops nothing.
     """
     chosen = library.selected_rows(manifest, ids, key)
-    segments = readers.asr_segments(raw.join(chosen.select(key), key, "left_semi"), key)
+    # parsing is dear for each byte: documents are dealt evenly, in the partitioning that the join needs anyway
+    raw = raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    segments = shared.written(readers.asr_segments(raw.join(chosen.select(key), key, "left_semi"), key), "segments")
     words = readers.asr_words(segments, key)
     said = segments
     if spans is not None:
         said = turns.attribute(segments, words, spans, key).withColumn("idx", F.struct("idx", "sub"))
-    names = turns.speaker_labels(said, labels or [], speaker_map, key)
-    named = said.withColumn("speaker", F.trim("speaker")).join(names, [key, "speaker"], "left")
+    spoken = shared.written(folds.turn_fold(turns.named(said, labels or [], speaker_map, key), key, gap_ms, max_turn_ms), "turns")
     missing = chosen.join(raw, key, "left_anti").select(key, F.lit("render").alias("stage"), F.lit("missing recogniser document").alias("status"))
     about = {"asr_model": "", "diarization_model": "", "diarization_source": "" if spans is None else "spans", **(settings or {})}
     header = chosen.select(key, *(F.col(c) for c in ("source_path", "source_sha256") if c in chosen.columns), *(F.lit(v).alias(k) for k, v in about.items()), F.array(*map(F.lit, labels or [])).cast("array<string>").alias("speaker_labels"))
-    return Rendered(segments, words, folds.turn_fold(named, key, gap_ms, max_turn_ms), missing, key, header)
+    return Rendered(segments, words, spoken, missing, key, header)
 
 
 #: Files whose presence the report states, by the end of their path.
@@ -63,10 +68,12 @@ def report(done: Rendered, manifest: DataFrame, listing: DataFrame, *, ids: list
     file is listed; without it the row says so, with its duration as the manifest has it.
     """
     key = done.key
-    chosen = library.selected_rows(manifest, ids, key).select(key, F.col("duration_sec").alias("__duration"))
+    duration = F.col("duration_sec")
+    chosen = library.selected_rows(manifest, ids, key).select(key, duration.alias("__duration"), F.rint(duration.try_cast("double") * 1000).cast("bigint").alias("duration_ms"))
     flags = library.artifact_flags(listing, REPORTED, key)
     named = F.col(key).try_cast(done.turns.schema[key].dataType)  # other files' names are no ids
-    flags = flags.withColumn(key, named).where(F.col(key).isNotNull()).select(key, "canonical_exists", (F.col("__plain") | F.col("__long")).alias("raw_json_exists"), "wav_exists", "diarization_regular_exists", "diarization_exclusive_exists")
-    there = done.turns.join(flags.where("canonical_exists").select(key), key, "left_semi")
-    recordings = chosen.select(key, F.rint(F.col("__duration").try_cast("double") * 1000).cast("bigint").alias("duration_ms"))
-    return qc.report(qc.metrics(there, recordings, key, max_turn_ms, expected), chosen, flags, qc.raw_metrics(done.segments, done.words, key), key)
+    flags = flags.withColumn(key, named).where(F.col(key).isNotNull()).select(key, F.col("canonical_exists").alias("__there"), (F.col("__plain") | F.col("__long")).alias("raw_json_exists"), "wav_exists", "diarization_regular_exists", "diarization_exclusive_exists")
+    measured = qc.recording_metrics(done.turns, key, max_turn_ms)
+    rows = chosen.join(flags, key, "left").join(measured, key, "left").join(qc.raw_metrics(done.segments, done.words, key), key, "left")
+    rows = rows.withColumns({c: F.when(F.col("__there"), F.col(c)) for c in measured.columns if c != key})
+    return qc.report(rows, key, expected)

@@ -1,8 +1,8 @@
 """Best overlaps and stabbing without pairs (J1, J2, J14): what each item needs from its spans in logarithmic steps.
 
 A join gives every pair of an item and a span that meet, so a stretch in which all overlap all is quadratic.  Here an item is
-filed under one cell, the smallest of doubling size that holds it, and a span under every cell that it meets and that has
-items.  A task sorts its cells and answers all their items at once from merge-sort trees over the spans: the places of a
+filed under the cell in which it starts, of a size that it can't pass by more than one cell, and a span under every cell
+that it meets and the one before.  Longer items have wider cells, the longest one for a recording.  A task sorts its cells and answers all their items at once from merge-sort trees over the spans: the places of a
 prefix (by start or end) fall into blocks of doubling size, and in a block sorted by the other end one search finds the best.
 A span is, for an item, one of four things: it covers the item, lies inside it, or reaches over its start or its end; each
 has one such question.  The number of speakers is that of their merged spans that meet the item, less the gaps between two
@@ -18,12 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 CELL_MS = 600_000
+#: How many times wider the cells of longer items are.
+WIDER = 4096
 #: Rows that are answered at once, where cells are small.
 CHUNK = 200_000
 
@@ -149,27 +151,18 @@ def speakers(start: np.ndarray, end: np.ndarray, who: np.ndarray, a: np.ndarray,
     return np.where(b > a, np.maximum(meet - gaps, 0), 0)
 
 
-def _cell(start: Column, end: Column, cell_ms: int) -> Column:
-    """The smallest cell (level, number) that holds a stretch."""
-    first, last = F.floor(start / cell_ms), F.floor(F.greatest(end - 1, start) / cell_ms)
-    differ = first.bitwiseXOR(last)
-    level = F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))  # the number of the highest bit that differs
-    return F.struct(level.cast("int").alias("level"), F.call_function("shiftright", first, level.cast("int")).alias("cell"))
-
-
 def _filed(items: DataFrame, spans: DataFrame, columns: list[str], key: str, cell_ms: int) -> DataFrame:
-    """Items and spans in one table, by cells in order; spans first (``__what`` 0)."""
-    own = items.select(F.col(key).alias("__key"), _cell(F.col("start_ms"), F.col("end_ms"), cell_ms).alias("__c"), F.col("start_ms").cast("bigint").alias("__a"), F.col("end_ms").cast("bigint").alias("__b"), F.struct(*columns).alias("__item"))
-    real = spans.where("end_ms > start_ms").where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col("start_ms").cast("bigint").alias("__a"), F.col("end_ms").cast("bigint").alias("__b"), F.col("idx").cast("bigint").alias("__idx"), F.col("speaker").alias("__who"))
-    first, last = F.floor(F.col("__a") / cell_ms), F.floor((F.col("__b") - 1) / cell_ms)
-    cells = lambda level: F.transform(F.sequence(F.call_function("shiftright", first, level), F.call_function("shiftright", last, level)), lambda c: F.struct(level.alias("level"), c.alias("cell")))
-    base = real.withColumn("__c", F.explode(cells(F.lit(0))))
-    high = own.where("__c.level > 0").select("__key", "__c").distinct()  # cells of items that no smallest cell holds
-    levels = high.groupBy("__key").agg(F.collect_set("__c.level").alias("__levels"))
-    above = real.join(levels, "__key").withColumn("__c", F.explode(F.flatten(F.transform("__levels", cells)))).drop("__levels")
-    above = above.join(high, ["__key", "__c"], "left_semi")
-    filed = base.unionByName(above).withColumn("__what", F.lit(0)).unionByName(own.withColumn("__what", F.lit(1)), allowMissingColumns=True)
-    return filed.select("__key", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell"), "__what", "__a", "__b", "__idx", "__who", "__item")
+    """Items and spans in one table, by cells; spans first (``__what`` 0)."""
+    place = lambda t, level: F.floor(t / (cell_ms * WIDER**level)).cast("bigint")
+    a, b = F.col("start_ms").cast("bigint"), F.col("end_ms").cast("bigint")
+    level = F.when(b - a <= cell_ms, 0).when(b - a <= cell_ms * WIDER, 1).otherwise(2)
+    cell = F.when(level == 0, place(a, 0)).when(level == 1, place(a, 1)).otherwise(F.lit(0).cast("bigint"))
+    own = items.select(F.col(key).alias("__key"), level.alias("__level"), cell.alias("__cell"), F.lit(1).alias("__what"), a.alias("__a"), b.alias("__b"), F.lit(None).cast("bigint").alias("__idx"), F.lit(None).cast("string").alias("__who"), F.struct(*columns).alias("__item"))
+    filed = lambda k: F.transform(F.sequence(place(a, k) - 1, place(b - 1, k)), lambda c: F.struct(F.lit(k).alias("level"), c.alias("cell")))
+    cells = F.concat(filed(0), filed(1), F.array(F.struct(F.lit(2).alias("level"), F.lit(0).cast("bigint").alias("cell"))))
+    real = spans.where("end_ms > start_ms").where(F.col(key).isNotNull()).select(key, "start_ms", "end_ms", "idx", "speaker", F.explode(cells).alias("c"))
+    there = real.select(F.col(key).alias("__key"), F.col("c.level").alias("__level"), F.col("c.cell").alias("__cell"), F.lit(0).alias("__what"), a.alias("__a"), b.alias("__b"), F.col("idx").cast("bigint").alias("__idx"), F.col("speaker").alias("__who"), F.lit(None).cast(own.schema["__item"].dataType).alias("__item"))
+    return there.unionByName(own)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

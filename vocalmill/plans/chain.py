@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import media as M
 from ..functions import text as X
 from ..operators import folds, library, progress, render, trash, turns, waveform
@@ -36,8 +37,9 @@ def _manifest(spark, d) -> DataFrame:
     return own.unionByName(known.where("conv_id % 13 = 0").selectExpr("conv_id + 1000000 AS conv_id", "'true' AS selected", "'7.250' AS duration_sec"))
 
 
-def _rendered(spark, d) -> render.Rendered:
-    return render.render(_manifest(spark, d), _documents(spark, d), B.spans(spark, d), list(B.LABELS), key="conv_id")
+def _rendered(spark, d, manifest=None) -> render.Rendered:
+    known = shared.written(_manifest(spark, d), "manifest") if manifest is None else manifest
+    return render.render(known, shared.written(_documents(spark, d), "documents"), B.spans(spark, d), list(B.LABELS), key="conv_id")
 
 
 def render_turns(spark, d):
@@ -59,11 +61,12 @@ def render_files(spark, d):
 
 
 def render_report(spark, d):
-    done = _rendered(spark, d)
+    manifest = shared.written(_manifest(spark, d), "manifest")
+    done = _rendered(spark, d, manifest)
     k = F.col("conv_id")
     paths = [F.when(k % n != 0, F.concat(F.lit(before), k.cast("string"), F.lit(after))) for n, before, after in ((5, "/p/json/", ".canonical.json"), (4, "/p/json/", ".whisperx.json"), (3, "/p/wav/", ".wav"), (2, "/p/json/", ".regular.json"), (9, "/p/json/", ".exclusive.json"))]
-    listing = _manifest(spark, d).where("conv_id < 1000000").select(F.explode(F.array_compact(F.array(*paths))).alias("path"))
-    return render.report(done, _manifest(spark, d), listing, max_turn_ms=30000)
+    listing = manifest.where("conv_id < 1000000").select(F.explode(F.array_compact(F.array(*paths))).alias("path"))
+    return render.report(done, manifest, listing, max_turn_ms=30000)
 
 
 def manifest_rows(spark, d):
