@@ -351,3 +351,29 @@ def test_extraction_trains_and_runs(spark):
     assert {r.text for r in got if r.page_id < 100} == {f"T {SEEN}"}
     assert {r.page_id: r.text for r in got if r.page_id >= 100} == {100: "", 101: f"{SEEN} {SEEN}"}
     assert (W.train(df.limit(0)) == np.array(W.DEFAULT)).all()
+
+
+@pytest.mark.parametrize("heading", ["Discussion", "Responses", "Replies", "Comments", "Reply"])
+def test_a_section_under_such_a_heading_stays(heading):
+    body = "<p>The measured values agree with those of the earlier study, as the second table shows in detail.</p><p>They differ where the sample was small, which was to be expected from the design.</p>"
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>A study of rivers</h1><h2>Methods</h2>{body}<h2>{heading}</h2>{body}<h2>Conclusion</h2>{body}</article></body></html>"
+    text = W.main_text(page, np.array(W.DEFAULT))
+    assert heading in text and "Conclusion" in text and text.count("measured values") == 3
+    if heading != "Comments":  # as the last section, too, but for the very word
+        assert W.main_text(page.replace("<h2>Conclusion</h2>" + body, ""), np.array(W.DEFAULT)).count("measured values") == 2
+
+
+@pytest.mark.parametrize("part", [
+    "<h2>3 Comments</h2><p>Great read, thank you.</p><p>I never knew this about the river.</p>",
+    "<h2>Discussion</h2><div><b>Ana</b><p>Great read, thank you.</p><a href=#>Reply</a></div><div><b>Rui</b><p>I never knew this about the river.</p><a href=#>Reply</a></div>",
+    "<h2>Responses</h2><div>Ana, 3 hours ago</div><p>Great read, thank you. I never knew this about the river.</p>",
+    "<h3>Leave a reply</h3><p>Great read, thank you.</p><p>I never knew this about the river.</p>",
+    "<h2>Comments</h2><p>Great read, thank you.</p><p>I never knew this about the river.</p>",
+    "<h2>Replies</h2><ul><li><div>Ana</div><div>Great read, thank you.</div></li><li><div>Rui</div><div>I never knew this about the river.</div></li></ul>",
+])
+def test_what_readers_wrote_goes(part):
+    body = "<p>The measured values agree with those of the earlier study, as the second table shows in detail.</p>"
+    text = W.main_text(f"<html><body><article><h1>A study of rivers</h1>{body}{part}</article></body></html>", np.array(W.DEFAULT))
+    assert "measured values" in text and "Great read" not in text and "never knew" not in text
+    text = W.main_text(f"<html><body><article><h1>A study of rivers</h1>{body}<section>{part}</section><h2>Conclusion</h2>{body}</article></body></html>", np.array(W.DEFAULT))
+    assert text.count("measured values") == 2 and "Great read" not in text

@@ -67,6 +67,12 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]
 _CUT_OFF = re.compile(r"<[A-Za-z/!?]")
 #: A heading over what readers wrote.
 _COMMENTS = re.compile(r"\W*(?:\d+\W+)?(?:comments?|repl(?:y|ies)|responses?|discussion|(?:leave|post|write) an? (?:comment|reply)|kommentare?|commentaires?|comentarios?)\b\W*(?:\d+)?\W*", re.I)
+#: A heading that counts comments or calls for them; one that names them; and what stands with a comment.
+_COUNTED = re.compile(r"\d|leave|post|write", re.I)
+_NAMED = re.compile(r"comment|kommentar|comentario", re.I)
+_REPLY = re.compile(r"\W*(?:reply|respond|report|like|quote|antworten|melden|répondre|signaler|responder)\W*", re.I)
+_WHEN = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}\.? [A-Za-zäéû]{3,9}\.? \d{4}\b|\b[A-Z][a-z]{2,8} \d{1,2}, \d{4}\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|\bvor \d+ |\bil y a \d+ |\bhace \d+ ")
+_SAYS = re.compile(r"\b(?:says|said|wrote|writes|schrieb|sagt|dice|escribió|a écrit|dit)\s*:", re.I)
 _LEGAL = re.compile(r"©|\(c\)|copyright\b|all rights reserved", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -235,19 +241,52 @@ def features(blocks: list[Block]) -> np.ndarray:
     return rows
 
 
+def _level(block: Block) -> int:
+    """The level of a heading, 0 for other blocks."""
+    tag = block.element.tag
+    return int(tag[1:]) if tag[0] == "h" and tag[1:].isdigit() else 0
+
+
+def _inside(element: Element | None, parent: Element | None) -> bool:
+    while element is not None and element is not parent:
+        element = element.parent
+    return element is parent
+
+
+def _readers_wrote(heading: str, part: list[Block]) -> bool:
+    """Whether what stands under a heading looks like readers' comments: a count or a call in the heading, or names with
+    times, links to reply, a form, or several like pieces that begin with a short line."""
+    if _COUNTED.search(heading):
+        return True
+    if any(len(b.text) <= 80 and (_REPLY.fullmatch(b.text) or _WHEN.search(b.text) or _SAYS.search(b.text)) for b in part):
+        return True
+    if any(b.element.tag in ("form", "label", "fieldset") or b.element.mark == "class" for b in part):
+        return True
+    holders: dict[int, list[Block]] = {}
+    for b in part:
+        holders.setdefault(id(b.element.parent), []).append(b)
+    named = [g for g in holders.values() if len(g) > 1 and len(g[0].text) <= 40 and not g[0].text.endswith((".", "!", "?")) and len(g[0].text) < len(g[1].text)]
+    return len(named) > 1
+
+
 def comment_blocks(blocks: list[Block]) -> list[bool]:
-    """Whether a block is a heading over readers' comments, or follows one inside the heading's parent element."""
-    out, holders = [], set()
-    for b in blocks:
-        node, under = b.element, False
-        while node is not None and not under:
-            under = id(node) in holders
-            node = node.parent
-        tag = b.element.tag
-        if not under and tag[0] == "h" and tag[1:].isdigit() and out and _COMMENTS.fullmatch(b.text):
-            holders.add(id(b.element.parent))
-            under = True
-        out.append(under)
+    """Whether a block is a heading over readers' comments, or stands in the part under it.
+
+    A part goes on inside the heading's parent element to the next heading there of the same level or above.  Its heading
+    may be that of an article's section, too: so the part must look like comments, or be headed by that very word and be
+    the last in its parent.
+    """
+    out = [False] * len(blocks)
+    for i, b in enumerate(blocks):
+        level = _level(b)
+        if not level or not i or out[i] or not _COMMENTS.fullmatch(b.text):
+            continue
+        parent, end = b.element.parent, i + 1
+        while end < len(blocks) and _inside(blocks[end].element, parent) and not (0 < _level(blocks[end]) <= level and blocks[end].element.parent is parent):
+            end += 1
+        last = end == len(blocks) or not _inside(blocks[end].element, parent)
+        if _readers_wrote(b.text, blocks[i + 1 : end]) or (last and _NAMED.search(b.text)):
+            out[i:end] = [True] * (end - i)
     return out
 
 
