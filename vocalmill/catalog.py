@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import chain, files, library, reviews, stores, streams, transcripts
+from .plans import chain, files, hotkeys, library, reviews, stores, streams, transcripts
 
-QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES, **files.QUERIES, **chain.QUERIES, **reviews.QUERIES, **stores.QUERIES}
-ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE, **files.ORACLE, **chain.ORACLE, **reviews.ORACLE, **stores.ORACLE}
+QUERIES: dict = {**transcripts.QUERIES, **library.QUERIES, **streams.QUERIES, **files.QUERIES, **chain.QUERIES, **reviews.QUERIES, **stores.QUERIES, **hotkeys.QUERIES}
+ORACLE: dict = {**transcripts.ORACLE, **library.ORACLE, **streams.ORACLE, **files.ORACLE, **chain.ORACLE, **reviews.ORACLE, **stores.ORACLE, **hotkeys.ORACLE}
