@@ -1,6 +1,7 @@
 """Streams of job events, run over what is there."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,22 @@ def test_creeping_progress(spark, tmp_path):
         spark.conf.unset(key)
     shown = [r.shown for r in seen if r.key == "x"]
     assert shown[:3] == [5, 6, 7]
+
+
+def test_a_job_is_cancelled_by_its_tag(spark):
+    begun = time.time()
+
+    def slow():
+        def wait(frames):
+            for frame in frames:
+                time.sleep(40)
+                yield frame
+
+        spark.range(4, numPartitions=1).mapInPandas(wait, "id bigint").count()
+
+    def broken():
+        raise ValueError("no sound")
+
+    done = S.run_tagged(spark, {"a": lambda: spark.range(10).count(), "slow": slow, "broken": broken, "never": slow, "b": lambda: spark.range(1000).selectExpr("sum(id)").collect()}, lambda item: item == "never" or (item == "slow" and time.time() > begun + 3))
+    assert done == {"a": "ok", "slow": "cancelled", "broken": "failed: no sound", "never": "cancelled", "b": "ok"} and time.time() < begun + 30
+    assert S.run_tagged(spark, {}) == {}

@@ -152,3 +152,8 @@ def duration_text(seconds: Column) -> Column:
 def tail(text: Column, limit: int) -> Column:
     """The last characters."""
     return F.right(text, F.lit(limit))
+
+
+def folded(column: Column) -> Column:
+    """A trimmed text that compares, groups and searches without regard to case, by Unicode's rules (ß and SS, final sigma) instead of letter by letter."""
+    return F.collate(F.trim(column), "UNICODE_CI")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..functions import text as X
 from ..schemas import MANIFEST_COLUMNS, PROBE_COLUMNS
 
 KIND_PREFERENCE = ("A", "AUDIO", "V")
@@ -90,9 +91,10 @@ def friendly_state(running: Column, failed: Column, reviewed: Column, canonical:
 
 def filter_list(rows: DataFrame, state: str | None = None, query: str = "", key: str = "interview_id") -> DataFrame:
     """Rows of a state whose id or title contains a text, without regard to case."""
-    wanted = query.strip().lower()
+    wanted = query.strip()
     out = rows.where(F.col("state") == state) if state and state != "all" else rows
-    return out.where(F.lower(key).contains(wanted) | F.lower(F.coalesce("title", F.lit(""))).contains(wanted)) if wanted else out
+    holds = lambda c: F.contains(F.collate(F.coalesce(F.col(c).cast("string"), F.lit("")), "UNICODE_CI"), F.collate(F.lit(wanted), "UNICODE_CI"))
+    return out.where(holds(key) | holds("title")) if wanted else out
 
 
 def pending(rows: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def union_sets(a: Column, b: Column) -> Column:
 def speaker_options(labels: DataFrame, turns: DataFrame) -> DataFrame:
     """Labels, then labels seen in turns; each once without regard to case, in order (label, prio, idx)."""
     every = labels.select("label", F.lit(0).alias("prio"), "idx").unionByName(turns.select("label", F.lit(1).alias("prio"), "idx")).where("trim(label) != ''")
-    return first_by(every.withColumn("__folded", F.lower(F.trim("label"))), ["__folded"], "prio", "idx").drop("__folded")
+    return first_by(every.withColumn("__folded", X.folded(F.col("label"))), ["__folded"], "prio", "idx").drop("__folded")
 
 
 def build_manifest(listings: list[DataFrame], extensions: tuple[str, ...], forms: DataFrame | None = None, probes: DataFrame | None = None, hashes: DataFrame | None = None, root: str = "/", kinds: tuple[str, ...] = KIND_PREFERENCE, preferred: tuple[str, ...] = EXTENSION_PREFERENCE) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import waveform
+from ..operators import library, waveform
 from ..session import ship
 from ..sources import growing, named, readers, writers
 from ..streaming import events as S
@@ -87,7 +87,28 @@ def waveform_lookups(spark, d):
     return found.select("file_id", "id", F.round("level", 6).alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (export_contents, stream_growing_log, wav_ranges, waveform_lookups)}
+def tagged_jobs(spark, d):
+    """X2, ST4: a job for each kind of event that writes its events' table, one of them cancelled; outcomes and what was written."""
+    kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(100).collect()]  # a fixed set of kinds
+    base = _folder(spark, "kinds")
+
+    def job(kind):
+        return lambda: table(spark, d, "events").where(F.col("event_type") == kind).groupBy("user_id").agg(F.count("*").alias("n")).write.parquet(f"{base}/event_type={kind}")
+
+    done = S.run_tagged(spark, {k: job(k) for k in kinds}, lambda kind: kind == "click")
+    outcomes = spark.createDataFrame(list(done.items()), "event_type string, status string")
+    written = spark.read.schema("user_id bigint, n bigint, event_type string").parquet(base).groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("users"))
+    return outcomes.join(written, "event_type", "left")
+
+
+def folded_options(spark, d):
+    """Labels that differ by case only, by Unicode's rules, meet once."""
+    labels = table(spark, d, "nation").selectExpr("concat(n_name, ' Straße') AS label", "n_nationkey AS idx")
+    seen = table(spark, d, "customer").selectExpr("CASE c_custkey % 3 WHEN 0 THEN concat(' ', upper(c_mktsegment), ' ΣΑΣ') WHEN 1 THEN concat(lower(c_mktsegment), ' σας ') ELSE 'france STRASSE' END AS label", "c_custkey AS idx")
+    return library.speaker_options(labels, seen).select("label", F.col("prio").cast("bigint").alias("prio"), F.col("idx").cast("bigint").alias("idx"))
+
+
+QUERIES = {f.__name__: f for f in (export_contents, stream_growing_log, wav_ranges, waveform_lookups, tagged_jobs, folded_options)}
 
 
 def _cell(column: str, sep: str) -> str:
@@ -122,5 +143,9 @@ ORACLE = {
       long AS (SELECT e.f, id, max(v) AS level FROM e JOIN p ON p.f = e.f AND p.i >= i0 AND p.i < i1 WHERE i1 - i0 > 2 GROUP BY ALL),
       near AS (SELECT e.f, id, l.v + (r.v - l.v) * greatest(0, least(1, x - i0)) AS level FROM e JOIN p l ON l.f = e.f AND l.i = i0 JOIN p r ON r.f = e.f AND r.i = least(n - 1, i0 + 1) WHERE i1 - i0 <= 2)
       SELECT f AS file_id, id, round(level, 6) AS level FROM (SELECT * FROM long UNION ALL SELECT * FROM near)""",
+    "tagged_jobs": "SELECT event_type, CASE WHEN event_type = 'click' THEN 'cancelled' ELSE 'ok' END AS status, CASE WHEN event_type != 'click' THEN count(*) END AS n, CASE WHEN event_type != 'click' THEN count(DISTINCT user_id) END AS users FROM events GROUP BY event_type",
+    "folded_options": """WITH e AS (SELECT n_name || ' Straße' AS label, 0 AS prio, n_nationkey AS idx, upper(n_name) || ' STRASSE' AS f FROM nation
+      UNION ALL SELECT CASE c_custkey % 3 WHEN 0 THEN ' ' || upper(c_mktsegment) || ' ΣΑΣ' WHEN 1 THEN lower(c_mktsegment) || ' σας ' ELSE 'france STRASSE' END, 1, c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'FRANCE STRASSE' ELSE upper(c_mktsegment) || ' ΣΑΣ' END FROM customer)
+      SELECT label, prio, idx FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY prio, idx) AS nth FROM e) WHERE nth = 1""",
     "stream_growing_log": "SELECT user_id, event_id, event_type, event_id % 2 AS batch FROM events",
 }

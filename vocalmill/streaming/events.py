@@ -5,9 +5,13 @@ Windowed counts with a watermark are an extension: the job log itself has no lat
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -150,6 +154,51 @@ def run_items(items: list[str], work: Callable[[str], None], progress: Callable[
     return out
 
 
+def run_tagged(spark: SparkSession, jobs: dict[str, Callable[[], None]], should_cancel: Callable[[str], bool] | None = None, workers: int = 4, poll: float = 0.1) -> dict[str, str]:
+    """X2, ST4: Spark work of several recordings at a time, each under a tag of its own, and cancelled by it from outside.
+
+    ``should_cancel`` is asked for each item again and again, from another thread; where it says so, the Spark jobs under
+    the item's tag are interrupted and the others go on.  The outcome of each item: ok, cancelled, or failed with its error.
+    """
+    run, context = uuid.uuid4().hex, spark.sparkContext
+    state: dict[str, str] = dict.fromkeys(jobs, "waiting")
+    wanted = should_cancel or (lambda item: False)
+    over = threading.Event()
+
+    def one(item: str) -> None:
+        tag = f"{run}-{list(jobs).index(item)}"
+        if wanted(item):
+            state[item] = "cancelled"
+            return
+        context.addJobTag(tag)
+        state[item] = "running"
+        try:
+            jobs[item]()
+            state[item] = "ok"
+        except Exception as error:  # the outcome of the item is its error
+            state[item] = "cancelled" if state[item] == "stopping" else f"failed: {error}"
+        finally:
+            context.removeJobTag(tag)
+
+    def watch() -> None:
+        while not over.wait(poll):
+            for k, item in enumerate(jobs):
+                if state[item] in ("running", "stopping") and wanted(item):
+                    state[item] = "stopping"
+                    context.cancelJobsWithTag(f"{run}-{k}")  # again, for a job that began after the last time
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            # a wrapper an item: each has local properties, and so tags, of its own
+            wait([pool.submit(inheritable_thread_target(spark)(one), item) for item in jobs])
+    finally:
+        over.set()
+        watcher.join()
+    return state
+
+
 def stop(query: StreamingQuery) -> None:
     """ST4: cancel a running query."""
     if query.isActive:
