@@ -175,7 +175,7 @@ def wav_samples(spark, d):
 
     ship(spark)
     sample = F.struct("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).alias("v"))
-    files = B.table(spark, d, "lineitem").where("l_suppkey % 5 = 0").groupBy(F.col("l_suppkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(sample)).alias("s"))
+    files = B.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(sample)).alias("s"))
     return waveform.wav_peaks(files.select("path", wav(F.col("s.v")).alias("content")), 10).select(F.col("file_id").cast("bigint").alias("l_suppkey"), "peak_idx", "peak", F.col("rate").cast("bigint").alias("rate"))
 
 
@@ -341,7 +341,7 @@ ORACLE = {
     "log_round_trip": f"WITH {B.EVENT} SELECT event_type AS stage, CASE WHEN dur_s % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(dur_s % 100) AS bigint) AS progress, 0 AS models FROM ev GROUP BY ALL",
     "settings_round_trip": """SELECT n_nationkey, name, value FROM (SELECT n_nationkey, unnest(['name', 'key', 'half', 'even', 'none', 'list', 'comment']) AS name,
       unnest([n_name || ': no 1', CAST(n_nationkey AS varchar), CAST(n_nationkey // 2 AS varchar) || CASE WHEN n_nationkey % 2 = 0 THEN '.0' ELSE '.5' END, CASE WHEN n_nationkey % 2 = 0 THEN 'True' ELSE 'False' END, 'null', '[' || chr(39) || n_name || chr(39) || ', ' || n_nationkey || ']', '5']) AS value FROM nation)""",
-    "wav_samples": """WITH v AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS int) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) - 1 AS i, abs(CAST(l_quantity AS int)) AS v FROM lineitem WHERE l_suppkey % 5 = 0),
+    "wav_samples": """WITH v AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS int) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) - 1 AS i, abs(CAST(l_quantity AS int)) AS v FROM lineitem),
       t AS (SELECT l_suppkey, i // 10 AS peak_idx, max(v) AS top FROM v GROUP BY ALL) SELECT l_suppkey, peak_idx, top::double / greatest(max(top) OVER (PARTITION BY l_suppkey), 1)::double AS peak, 8000 AS rate FROM t""",
     "sizes_as_text": """WITH s AS (SELECT o_orderkey AS k, o_orderkey * o_orderkey * [1, 37, 4099][o_orderkey % 3 + 1] AS n, o_orderkey % 9000 AS d FROM orders)
       SELECT k AS o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n::double / 1024) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n::double / 1048576) || ' MB' ELSE printf('%.2f', n::double / 1073741824) || ' GB' END AS size,

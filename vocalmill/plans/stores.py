@@ -14,6 +14,7 @@ from ..operators import library, waveform
 from ..session import ship
 from ..sources import growing, named, readers, writers
 from ..streaming import events as S
+from . import chain as CH
 from . import transcripts as TR
 from .bindings import table
 from .reviews import ORACLE as REVIEWS
@@ -32,6 +33,15 @@ def export_contents(spark, d):
     return found
 
 
+def render_contents(spark, d):
+    """K5-K7: the text files of the whole chain, from documents to contents, in every format."""
+    found = None
+    for name, files in CH._rendered(spark, d).files().items():
+        one = files.select(F.lit(name).alias("format"), "conv_id", F.md5("content").alias("h"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def stream_growing_log(spark, d):
     """ST1, S11, K3: sixteen logs, read before and after lines are appended to them; each line with the batch that brought it."""
     line = F.to_json(F.struct("user_id", "event_id", "event_type"))
@@ -108,7 +118,7 @@ def folded_options(spark, d):
     return library.speaker_options(labels, seen).select("label", F.col("prio").cast("bigint").alias("prio"), F.col("idx").cast("bigint").alias("idx"))
 
 
-QUERIES = {f.__name__: f for f in (export_contents, stream_growing_log, wav_ranges, waveform_lookups, tagged_jobs, folded_options)}
+QUERIES = {f.__name__: f for f in (export_contents, render_contents, stream_growing_log, wav_ranges, waveform_lookups, tagged_jobs, folded_options)}
 
 
 def _cell(column: str, sep: str) -> str:
@@ -131,7 +141,13 @@ _CONTENTS = {
     "tsv": _table_sql(_TURN_ROWS, writers.TURN_COLUMNS, "\t", "turn_id"),
     "nvivo": _table_sql(TR.ORACLE["nvivo_rows"], ["Timespan", "Speaker", "Content"], "\t", "turn"),
 }
+_CHAIN_CONTENTS = {
+    "md": REVIEWS["markdown_files"].replace(TR._TURNS, CH._CHAIN),
+    "srt": f"{CH._CHAIN}, {TR._cues(',')} SELECT conv_id, string_agg(cue || chr(10) || times || chr(10) || text, chr(10) || chr(10) ORDER BY cue) || chr(10) AS content FROM cues GROUP BY conv_id",
+    "vtt": f"{CH._CHAIN}, {TR._cues('.')} SELECT conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(times || chr(10) || text, chr(10) || chr(10) ORDER BY cue) || chr(10) AS content FROM cues GROUP BY conv_id",
+}
 ORACLE = {
+    "render_contents": " UNION ALL ".join(f"SELECT '{name}' AS format, conv_id, md5(content) AS h FROM ({sql})" for name, sql in _CHAIN_CONTENTS.items()),
     "export_contents": " UNION ALL ".join(f"SELECT '{name}' AS format, conv_id, md5(content) AS h FROM ({sql})" for name, sql in _CONTENTS.items()),
     "wav_ranges": """WITH v AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS int) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END) - 1 AS i, abs(CAST(l_quantity AS int)) AS v FROM lineitem),
       t AS (SELECT l_suppkey, i // 10 AS peak_idx, max(v) AS top FROM v GROUP BY ALL) SELECT l_suppkey, peak_idx, top::double / greatest(max(top) OVER (PARTITION BY l_suppkey), 1)::double AS peak, 8000 AS rate FROM t""",
