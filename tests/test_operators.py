@@ -260,7 +260,7 @@ def test_labels_meet_without_regard_to_case(spark):
     from vocalmill.operators import library
 
     labels = spark.createDataFrame([("Straße", 0), ("İzmir", 1), ("Σίσυφος", 2), ("  ", 3)], "label string, idx int")
-    turns = spark.createDataFrame([("STRASSE", 0), (" i̇zmir ", 1), ("ΣΊΣΥΦΟΣ", 2), ("Strasbourg", 3), ("strasbourg", 4)], "label string, idx int")
+    turns = spark.createDataFrame([("STRASSE", 0), (" i̇zmir ", 1), ("ΣΊΣΥΦΟΣ", 2), ("Strasbourg", 3), ("strasbourg", 4), ("STRAẞE", 5)], "label string, idx int")
     assert [r.label for r in library.speaker_options(labels, turns).orderBy("prio", "idx").collect()] == ["Straße", "İzmir", "Σίσυφος", "Strasbourg"]
     rows = spark.createDataFrame([("A1", "Große Straße", "ready"), ("b2", None, "ready"), ("c3", "x", "pending")], "interview_id string, title string, state string")
     assert [[r.interview_id for r in library.filter_list(rows, s, q).collect()] for s, q in ((None, "STRASSE"), ("all", " a1 "), ("ready", ""), (None, "B2"), ("pending", "a1"))] == [["A1"], ["A1"], ["A1", "b2"], ["b2"], []]

@@ -155,5 +155,9 @@ def tail(text: Column, limit: int) -> Column:
 
 
 def folded(column: Column) -> Column:
-    """A trimmed text that compares, groups and searches without regard to case, by Unicode's rules (ß and SS, final sigma) instead of letter by letter."""
-    return F.collate(F.trim(column), "UNICODE_CI")
+    """A trimmed text without regard to case, by Unicode's full mappings (ß meets SS, the final sigma any other), not letter by letter.
+
+    Case-insensitive collations keep ß and SS apart.  Upper case joins all but two letters that have no lower case of their own.
+    """
+    upper = F.upper(F.trim(column))
+    return F.replace(F.replace(upper, F.lit("\u0130"), F.lit("I\u0307")), F.lit("\u1e9e"), F.lit("SS"))

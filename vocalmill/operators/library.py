@@ -93,7 +93,7 @@ def filter_list(rows: DataFrame, state: str | None = None, query: str = "", key:
     """Rows of a state whose id or title contains a text, without regard to case."""
     wanted = query.strip()
     out = rows.where(F.col("state") == state) if state and state != "all" else rows
-    holds = lambda c: F.contains(F.collate(F.coalesce(F.col(c).cast("string"), F.lit("")), "UNICODE_CI"), F.collate(F.lit(wanted), "UNICODE_CI"))
+    holds = lambda c: F.contains(X.folded(F.coalesce(F.col(c).cast("string"), F.lit(""))), X.folded(F.lit(wanted)))
     return out.where(holds(key) | holds("title")) if wanted else out
 
 

@@ -114,7 +114,7 @@ def tagged_jobs(spark, d):
 def folded_options(spark, d):
     """Labels that differ by case only, by Unicode's rules, meet once."""
     labels = table(spark, d, "nation").selectExpr("concat(n_name, ' Straße') AS label", "n_nationkey AS idx")
-    seen = table(spark, d, "customer").selectExpr("CASE c_custkey % 3 WHEN 0 THEN concat(' ', upper(c_mktsegment), ' ΣΑΣ') WHEN 1 THEN concat(lower(c_mktsegment), ' σας ') ELSE 'france STRASSE' END AS label", "c_custkey AS idx")
+    seen = table(spark, d, "customer").selectExpr("CASE c_custkey % 3 WHEN 0 THEN concat(' ', upper(c_mktsegment), ' ΣΑΣ') WHEN 1 THEN concat(lower(c_mktsegment), ' σας ') ELSE concat(lower(c_mktsegment), ' STRASSE') END AS label", "c_custkey AS idx").unionByName(table(spark, d, "nation").selectExpr("concat(lower(n_name), ' STRASSE') AS label", "-1 - n_nationkey AS idx"))
     return library.speaker_options(labels, seen).select("label", F.col("prio").cast("bigint").alias("prio"), F.col("idx").cast("bigint").alias("idx"))
 
 
@@ -161,7 +161,8 @@ ORACLE = {
       SELECT f AS file_id, id, round(level, 6) AS level FROM (SELECT * FROM long UNION ALL SELECT * FROM near)""",
     "tagged_jobs": "SELECT event_type, CASE WHEN event_type = 'click' THEN 'cancelled' ELSE 'ok' END AS status, CASE WHEN event_type != 'click' THEN count(*) END AS n, CASE WHEN event_type != 'click' THEN count(DISTINCT user_id) END AS users FROM events GROUP BY event_type",
     "folded_options": """WITH e AS (SELECT n_name || ' Straße' AS label, 0 AS prio, n_nationkey AS idx, upper(n_name) || ' STRASSE' AS f FROM nation
-      UNION ALL SELECT CASE c_custkey % 3 WHEN 0 THEN ' ' || upper(c_mktsegment) || ' ΣΑΣ' WHEN 1 THEN lower(c_mktsegment) || ' σας ' ELSE 'france STRASSE' END, 1, c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'FRANCE STRASSE' ELSE upper(c_mktsegment) || ' ΣΑΣ' END FROM customer)
+      UNION ALL SELECT CASE c_custkey % 3 WHEN 0 THEN ' ' || upper(c_mktsegment) || ' ΣΑΣ' WHEN 1 THEN lower(c_mktsegment) || ' σας ' ELSE lower(c_mktsegment) || ' STRASSE' END, 1, c_custkey, upper(c_mktsegment) || CASE WHEN c_custkey % 3 = 2 THEN ' STRASSE' ELSE ' ΣΑΣ' END FROM customer
+      UNION ALL SELECT lower(n_name) || ' STRASSE', 1, -1 - n_nationkey, upper(n_name) || ' STRASSE' FROM nation)
       SELECT label, prio, idx FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY prio, idx) AS nth FROM e) WHERE nth = 1""",
     "stream_growing_log": "SELECT user_id, event_id, event_type, event_id % 2 AS batch FROM events",
 }

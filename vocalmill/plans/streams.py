@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import review
+from ..shared import folder as _folder
 from ..sources import readers
 from ..streaming import events as S
 from .bindings import table
 from .transcripts import all_turns
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-
-        base = "file://" + tempfile.mkdtemp(prefix="vocalmill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream of its files."""
     schema = table(spark, d, "events").schema

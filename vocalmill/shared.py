@@ -1,4 +1,7 @@
-"""Tables written between steps, in the folder that all executors share."""
+"""Tables written between steps, in the folder that all executors share.
+
+Results read them lazily, so they stay there; the folder is cleared by whoever named it.
+"""
 
 from __future__ import annotations
 
@@ -23,9 +26,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder that :func:`folder` named."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
