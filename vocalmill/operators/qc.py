@@ -128,6 +128,12 @@ def assess(measured: DataFrame, key: str = "interview_id", expected: tuple[int,
     )
 
 
+def ratio_text(ratio: Column, digits: int) -> Column:
+    """A ratio with so many decimals: its double times a power of ten, to the nearest whole number, ties to even, as SQL's ``round_even`` has it; null for null."""
+    scale = 10.0**digits
+    return F.when(ratio.isNotNull(), F.format_string(f"%.{digits}f", F.rint(ratio * scale) / scale))
+
+
 def text_view(rows: DataFrame, key: str = "interview_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """The metrics as text, as in a CSV row: seconds with three decimals, ratios rounded, empty for null."""
     empty = lambda c: F.coalesce(c, F.lit(""))
@@ -137,8 +143,8 @@ def text_view(rows: DataFrame, key: str = "interview_id", keep: tuple[str, ...]
         F.lower(F.col("canonical_exists").cast("string")).alias("canonical_exists"),
         *(empty(seconds_text(F.col(ms))).alias(name) for name, ms in times.items()),
         *(F.col(c).cast("string").alias(c) for c in ("turn_count", "speaker_count", "long_turns", "empty_turns", "timestamp_regressions", "unknown_speakers", "missing_human_labels")),
-        empty(F.when(F.col("speaker_time_ratio_max").isNotNull(), F.format_string("%.3f", F.bround("speaker_time_ratio_max", 3)))).alias("speaker_time_ratio_max"),
-        empty(F.when(F.col("coverage_ratio").isNotNull(), F.format_string("%.4f", F.bround("coverage_ratio", 4)))).alias("coverage_ratio"),
+        empty(ratio_text(F.col("speaker_time_ratio_max"), 3)).alias("speaker_time_ratio_max"),
+        empty(ratio_text(F.col("coverage_ratio"), 4)).alias("coverage_ratio"),
         "notes",
         *keep,
     )
@@ -151,7 +157,7 @@ def report(rows: DataFrame, key: str = "interview_id", expected: tuple[int, int]
     :func:`raw_metrics`, null where there is nothing, and the presence of files, null for none.
     """
     empty = lambda c: F.coalesce(c, F.lit(""))
-    mean = lambda c: empty(F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.bround(c, 3)))).alias(c)
+    mean = lambda c: empty(ratio_text(F.col(c), 3)).alias(c)
     counts = ("raw_segment_count", "raw_segments_without_speaker", "raw_word_count")
     means = ("raw_word_score_mean", "raw_avg_logprob_mean")
     plain, rendered = ("raw_json_exists", "wav_exists"), ("diarization_regular_exists", "diarization_exclusive_exists")
