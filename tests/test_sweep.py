@@ -81,3 +81,34 @@ def test_empty(spark):
     items, spans = tables(spark, 6, 20)
     assert sweep.best_overlap(items.limit(0), spans, ["idx"]).count() == 0
     assert sweep.best_overlap(items, spans.limit(0), ["idx"]).count() == 0 and sweep.best_overlap(items, spans.limit(0), ["idx"], outer=True).count() == 20
+
+
+def test_memory_of_a_tree_is_in_proportion_to_its_points():
+    tracemalloc = pytest.importorskip("tracemalloc")
+    n = 1 << 17
+    rng = np.random.default_rng(1)
+    start, idx = rng.integers(0, 10**6, n), np.arange(n)
+    tracemalloc.start()
+    sweep.best(start, start + rng.integers(1, 10**5, n), idx, start, start + 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 8 * n  # 18 levels of two numbers a point, of two trees, were more than this
+
+
+def test_items_of_two_cells_need_no_cell_of_the_whole_recording(spark):
+    spans = spark.range(2000).selectExpr("'r' AS interview_id", "id AS idx", "id * 600000 AS start_ms", "id * 600000 + 900000 AS end_ms", "'A' AS speaker")
+    items = spans.selectExpr("interview_id", "idx", "start_ms", "end_ms")
+    for look in (False, True):
+        filed = sweep._filed(items, spans, ["interview_id"], "interview_id", sweep.CELL_MS, None, look)
+        cells = filed.groupBy("__key", "__level", "__cell").agg(F.count_if(F.col("__what") == 1).alias("items"), F.count("*").alias("rows"))
+        assert cells.where("items > 0").agg(F.max("rows")).first()[0] < 40
+        assert (filed.where("__what = 0").groupBy("__level").count().count() == 1) == look
+
+
+def test_spans_of_cells_without_items_are_not_held(spark, monkeypatch):
+    items, spans = tables(spark, 8, 200)
+    items = items.where("interview_id = 's'")
+    want = sorted(map(tuple, sweep.best_overlap(items, spans, ["idx"], outer=True).collect()), key=repr)
+    monkeypatch.setattr(sweep, "CHUNK", 5)
+    for look in (False, True):
+        assert sorted(map(tuple, sweep.best_overlap(items, spans, ["idx"], outer=True, look=look).collect()), key=repr) == want

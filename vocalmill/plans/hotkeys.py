@@ -36,7 +36,7 @@ def sweep_overlaps(spark, d):
     """J1, J2 over few keys: every second event against the others."""
     ev = _hot(spark, d).withColumnRenamed("k", "interview_id")
     items, spans = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1").select("interview_id", F.col("event_id").alias("idx"), "start_ms", "end_ms", F.col("event_type").alias("speaker"))
-    return sweep.best_overlap(items, spans, ["event_id"]).select("event_id", "best_speaker", "overlap_ms", "n_speakers")
+    return sweep.best_overlap(items, spans, ["event_id"], look=True).select("event_id", "best_speaker", "overlap_ms", "n_speakers")
 
 
 def sweep_stab(spark, d):
