@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import review
 from . import bindings as B
 from . import transcripts as TR
@@ -14,7 +15,8 @@ CAP = 40_000
 
 
 def _turns(spark, d) -> DataFrame:
-    return review.normalize(TR.all_turns(spark, d, CAP).withColumn("interview_id", F.col("conv_id").cast("string")))
+    """Written, as turns and edits both come from them."""
+    return shared.written(review.normalize(TR.all_turns(spark, d, CAP).withColumn("interview_id", F.col("conv_id").cast("string"))), "turns")
 
 
 def _edited(turns: DataFrame, edits: DataFrame) -> DataFrame:
