@@ -22,3 +22,10 @@ def files(uri: str, ending: str = "") -> list[tuple[str, int]]:
         return []
     found = store.get_file_info(fs.FileSelector(info.path))
     return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(ending) and not f.base_name.startswith((".", "_")))
+
+
+def existing(uri: str) -> None:
+    """Raises where there is neither a file nor a folder."""
+    store, path = at(uri)
+    if store.get_file_info(path.rstrip("/")).type == fs.FileType.NotFound:
+        raise FileNotFoundError(uri)
